@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cladeflow.functions.staging import table
-from cladeflow.llm import tiff
+from cladeflow.llm import sigtree, tiff
+
+
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sigtree.jaccard_components(table(spark, sf_dir, "documents"))
 
 
 def op10_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +19,10 @@ def op10_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_tiff_pages": op10_tiff_pages}
+    return {
+        "op5_ngram_jaccard": op5_ngram_jaccard,
+        "op10_tiff_pages": op10_tiff_pages,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
