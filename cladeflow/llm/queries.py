@@ -5,22 +5,35 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cladeflow.functions.staging import table
-from cladeflow.llm import sigtree, tiff
+from cladeflow.llm import line_dedup, mixing, sigtree, tiff
+
+
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sigtree.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    cut = F.aggregate("deleted_runs", F.lit(0), lambda t, r: t + r["last"] - r["first"] + 1)
+    return out.select("doc_id", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"), cut.cast("long").alias("n_deleted"), "deleted_runs", "text")
+
+
 def op10_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.text_media_digest(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_source_mixing": op2_source_mixing,
         "op5_ngram_jaccard": op5_ngram_jaccard,
+        "op9_line_dedup": op9_line_dedup,
         "op10_tiff_pages": op10_tiff_pages,
     }
 
