@@ -45,7 +45,7 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def _islands(lines: DataFrame) -> DataFrame:
     """The lines whose ID occurs more than once, with the number of their island."""
-    often = lines.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    often = stage(lines.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "often")
     order = Window.partitionBy("d", "v").orderBy("s")
     return lines.join(often, "h").distinct().withColumn("island", F.col("s") - F.row_number().over(order))
 
@@ -119,6 +119,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = [c for c in docs.columns if c != "deleted_runs"]
     found = stage(repeated_runs(docs, id_col, text_col, min_words).select(F.col("d").alias("_d"), F.col("v").alias("_v"), F.col("runs").alias("deleted_runs")), "deleted")
     rows = docs.select(*names).withColumn("_h", F.xxhash64(text_col))
+    found = found.hint("merge")  # the deletions grow with the input, so they are never broadcast
     out = rows.join(found, (rows[id_col] == found["_d"]) & (rows["_h"] == found["_v"]), "left")
     kept = F.filter(F.split(text_col, "\n", -1), lambda x, i: ~F.exists("deleted_runs", lambda r: (r["first"] <= i) & (i <= r["last"])))
     text = F.when(F.col("deleted_runs").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
