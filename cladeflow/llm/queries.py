@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeflow.functions.staging import table
-from cladeflow.llm import langid, line_dedup, mixing, sigtree, tiff
+from cladeflow.llm import langid, line_dedup, mixing, sigtree, spm, tiff
+
+#: Vocabulary files are found here; they are never copied into the repository.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +26,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str, path: str = PIECES) -> DataFrame:
+    return spm.encode_column(table(spark, sf_dir, "documents"), spm.load(spark, path))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     cut = F.aggregate("deleted_runs", F.lit(0), lambda t, r: t + r["last"] - r["first"] + 1)
@@ -38,6 +45,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_source_mixing": op2_source_mixing,
         "op5_ngram_jaccard": op5_ngram_jaccard,
         "op6_language_id": op6_language_id,
+        "op7_sentencepiece": op7_sentencepiece,
         "op9_line_dedup": op9_line_dedup,
         "op10_tiff_pages": op10_tiff_pages,
     }
