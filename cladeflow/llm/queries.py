@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeflow.functions.staging import table
-from cladeflow.llm import langid, line_dedup, mixing, sigtree, spm, tiff
+from cladeflow.llm import ann, langid, line_dedup, mixing, sigtree, spm, tiff
 
 #: Vocabulary files are found here; they are never copied into the repository.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -18,6 +18,10 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sigtree.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ def op10_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_source_mixing": op2_source_mixing,
+        "op4_ann_search": op4_ann_search,
         "op5_ngram_jaccard": op5_ngram_jaccard,
         "op6_language_id": op6_language_id,
         "op7_sentencepiece": op7_sentencepiece,
