@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeflow.functions.staging import table
-from cladeflow.llm import ann, langid, line_dedup, mixing, sigtree, spm, tiff
+from cladeflow.llm import ann, langid, line_dedup, mixing, sigtree, spm, tiff, xent
 
 #: Vocabulary files are found here; they are never copied into the repository.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -34,6 +34,11 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str, path: str = PIECES) -> D
     return spm.encode_column(table(spark, sf_dir, "documents"), spm.load(spark, path))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return xent.cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     cut = F.aggregate("deleted_runs", F.lit(0), lambda t, r: t + r["last"] - r["first"] + 1)
@@ -51,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_ngram_jaccard": op5_ngram_jaccard,
         "op6_language_id": op6_language_id,
         "op7_sentencepiece": op7_sentencepiece,
+        "op8_lm_scoring": op8_lm_scoring,
         "op9_line_dedup": op9_line_dedup,
         "op10_tiff_pages": op10_tiff_pages,
     }
