@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeflow.functions.staging import table
-from cladeflow.llm import ann, langid, line_dedup, mixing, sigtree, spm, tiff, xent
+from cladeflow.llm import ann, langid, line_dedup, mixing, quality, sigtree, spm, tiff, xent
 
 #: Vocabulary files are found here; they are never copied into the repository.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -18,6 +18,10 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
 def op4_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -52,6 +56,7 @@ def op10_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_source_mixing": op2_source_mixing,
+        "op3_quality_cotraining": op3_quality_cotraining,
         "op4_ann_search": op4_ann_search,
         "op5_ngram_jaccard": op5_ngram_jaccard,
         "op6_language_id": op6_language_id,
