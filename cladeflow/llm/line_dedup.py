@@ -79,6 +79,11 @@ def _run(a: Column, j: Column, size: Column, levels: int) -> Column:
     return out
 
 
+def _part(first: Column, last: Column, step: int) -> Column:
+    """Entries of the island from first to last; slice() would copy it whole inside a lambda."""
+    return F.transform(F.sequence(first, last, F.lit(step)), lambda j: F.get("a", j))
+
+
 def _reach(part: Column, words: int) -> Column:
     """The number of leading entries of ``part`` until they hold ``words`` words; 0 if never."""
     zero = F.struct(F.lit(0).alias("w"), F.lit(0).alias("n"))
@@ -100,7 +105,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     cells = [f"l{k}" for k in range(levels)]
     islands = ranks.groupBy("d", "v", "island").agg(F.sort_array(F.collect_list(F.struct("s", "i", "w", "h", *cells))).alias("a"))
-    spots = islands.select("d", "v", "a", F.posexplode(F.transform("a", lambda x, j: F.struct(_reach(F.slice("a", j + 1, min_words), min_words).alias("on"), _reach(F.reverse(F.slice("a", F.greatest(j + 2 - min_words, F.lit(1)), F.least(j + 1, F.lit(min_words)))), min_words).alias("back")))).alias("j", "x"))
+    spots = islands.select("d", "v", "a", F.posexplode(F.transform("a", lambda x, j: F.struct(_reach(_part(j, F.least(j + min_words, F.size("a")) - 1, 1), min_words).alias("on"), _reach(_part(j, F.greatest(j + 1 - min_words, F.lit(0)), -1), min_words).alias("back")))).alias("j", "x"))
     named = spots.select("d", "v", F.explode(F.array(F.struct(F.col("j"), F.col("x.on").alias("size")), F.struct((F.col("j") - F.col("x.back") + 1).alias("j"), F.col("x.back").alias("size")))).alias("y"), "a")
     named = named.where("y.size > 0").select("d", "v", _run(F.col("a"), F.col("y.j"), F.col("y.size"), levels).alias("r")).where("r is not null")
     runs = stage(named.select("d", "v", "r.*"), "runs")

@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeflow.functions.staging import table
-from cladeflow.llm import ann, langid, line_dedup, mixing, quality, sigtree, spm, tiff, xent
+from cladeflow.llm import ann, langid, license_scan, line_dedup, mixing, quality, sigtree, spm, tiff, xent
 
 #: Vocabulary files are found here; they are never copied into the repository.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_digest(table(spark, sf_dir, "documents"))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ def op10_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scan": op1_license_scan,
         "op2_source_mixing": op2_source_mixing,
         "op3_quality_cotraining": op3_quality_cotraining,
         "op4_ann_search": op4_ann_search,
