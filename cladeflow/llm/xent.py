@@ -13,7 +13,7 @@ loss less the background's: the lower, the more like the target.
 Counts cover every document and grow with the corpus: bigrams are neither hashed together
 nor cut off. Each document's bigrams are sent once, packed and counted, to the partition
 of their hash; the same task counts a bigram over the corpus and scores all documents
-that hold it, so no table of bigrams is collected or broadcast. Only the unigram tables,
+that hold it, and the sums go back to the batch of documents they came from, so no table of bigrams is collected or broadcast. Only the unigram tables,
 bounded by the vocabulary, go to every task.
 
 Defined results: a null, empty or blank text has no tokens and a null score; rows with one
@@ -22,6 +22,7 @@ doc_id are scored as one document; without target documents the target model is
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,7 @@ from cladeflow.llm.tokens import mix, words
 
 VOCABULARY = 50_000
 MU = 100.0
+BATCH_ROWS = 10_000  # places in a batch must fit 16 bits
 MOST_WORDS = 65_000  # places must fit 16 bits
 PARTITION_TOKENS = 2_000_000  # about the tokens of one part, whatever the input
 
@@ -109,14 +111,16 @@ class Unigrams:
 
 
 def pack_bigrams(rows: DataFrame, table: Unigrams, parts: int) -> DataFrame:
-    """(part, ids, target, pairs): distinct bigrams of some documents with their counts, packed.
+    """Distinct bigrams of the documents of a batch with their counts, a row for each part.
 
-    ``pairs`` holds, for each bigram and document, the bigram (8 bytes of which few are
-    used), the document's place in ``ids`` and the count, each column by itself.
+    A row holds the batch's name, the rows of the batch that it has (``own``) with their
+    target flags and, for each bigram and document, the bigram's low and high bits, the
+    document's place in ``own`` and the count, each as a packed column; counts from 255 on
+    are in ``large``. The batch's first row also has the doc_ids of the whole batch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(lo, BATCH_ROWS) for x in batches for lo in range(0, x.num_rows, BATCH_ROWS)):
             ids, chosen = b["doc_id"].to_numpy(zero_copy_only=False), b["target"].to_numpy(zero_copy_only=False)
             keys, docs = [], []
             seqs = [np.frombuffer(x.as_py(), np.uint16) for x in b["seq"]]
@@ -149,48 +153,68 @@ def pack_bigrams(rows: DataFrame, table: Unigrams, parts: int) -> DataFrame:
             count = np.diff(np.append(new, len(key))).astype(np.int32)
             key, doc, part = key[new], doc[new], part[new]
             cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
+            name = int.from_bytes(hashlib.blake2b(ids.astype(np.int64).tobytes(), digest_size=8).digest(), "little", signed=True)
             out = []
             for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 own, at = np.unique(doc[lo:hi], return_inverse=True)
                 pairs = (key[lo:hi].astype(np.uint32).tobytes(), (key[lo:hi] >> 32).astype(np.uint8).tobytes(), at.astype(np.uint16).tobytes(), np.minimum(count[lo:hi], 255).astype(np.uint8).tobytes(), count[lo:hi][count[lo:hi] >= 255].astype(np.int32).tobytes())
-                out.append((int(part[lo]), ids[own].astype(np.int64).tobytes(), chosen[own].astype(np.uint8).tobytes(), *pairs))
-            kinds = (pa.int32(), *[pa.binary()] * 7)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["part", "ids", "target", "low", "high", "doc", "count", "large"])
+                out.append((int(part[lo]), name, b"" if out else ids.astype(np.int64).tobytes(), own.astype(np.uint16).tobytes(), chosen[own].astype(np.uint8).tobytes(), *pairs))
+            kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 8)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["part", "batch", "ids", "own", "target", "low", "high", "doc", "count", "large"])
 
-    return rows.mapInArrow(run, "part int, ids binary, target binary, low binary, high binary, doc binary, count binary, large binary")
+    return rows.mapInArrow(run, "part int, batch long, ids binary, own binary, target binary, low binary, high binary, doc binary, count binary, large binary")
 
 
 def _score(table: Unigrams):
-    """Counts the bigrams of one part over the corpus and scores its documents."""
+    """Counts the bigrams of one part over the corpus and scores what each batch has of them."""
 
     def run(t: pa.Table) -> pa.Table:
-        key, doc, count, ids, chosen, base = [], [], [], [], [], 0
-        for r in t.to_pylist():
-            own = np.frombuffer(r["ids"], np.int64)
-            low = np.frombuffer(r["low"], np.uint32).astype(np.int64)
-            key.append(low | np.frombuffer(r["high"], np.uint8).astype(np.int64) << 32)
-            doc.append(np.frombuffer(r["doc"], np.uint16).astype(np.int64) + base)
+        rows = t.to_pylist()
+        key, count, weight, spans, at = [], [], [], [], 0
+        for r in rows:
+            key.append(np.frombuffer(r["low"], np.uint32).astype(np.int64) | np.frombuffer(r["high"], np.uint8).astype(np.int64) << 32)
             n = np.frombuffer(r["count"], np.uint8).astype(np.int64)
             n[n == 255] = np.frombuffer(r["large"], np.int32)
             count.append(n)
-            ids.append(own)
-            chosen.append(np.frombuffer(r["target"], np.uint8))
-            base += len(own)
-        key, doc, count, ids, chosen = map(np.concatenate, (key, doc, count, ids, chosen))
-        both, at = np.unique(key, return_inverse=True)
+            weight.append(np.frombuffer(r["target"], np.uint8)[np.frombuffer(r["doc"], np.uint16)] * n)
+            spans.append((at, at + len(n)))
+            at += len(n)
+        both, back = np.unique(np.concatenate(key), return_inverse=True)
         prior, following = both // table.size, both % table.size
         loss = []
-        for k, weight in enumerate((chosen[doc] * count, count)):
-            c = np.bincount(at, weight, len(both))
+        for k, w in enumerate((np.concatenate(weight), np.concatenate(count))):
+            c = np.bincount(back, w, len(both))
             loss.append(-np.log((c + MU * table.logs[k][following]) / (table.history[k][prior] + MU)))
-        who, back = np.unique(ids, return_inverse=True)
-        sums = [np.bincount(back[doc], x[at] * count, len(who)) for x in loss]
-        n = np.bincount(back[doc], count, len(who)).astype(np.int64)
-        return pa.table({"doc_id": pa.array(who), "target": pa.array(sums[0]), "background": pa.array(sums[1]), "n": pa.array(n)})
+        out: dict[str, list] = {"batch": [], "ids": [], "own": [], "target": [], "background": [], "n": []}
+        for r, (lo, hi), n in zip(rows, spans, count, strict=True):
+            doc = np.frombuffer(r["doc"], np.uint16)
+            size = len(r["own"]) // 2
+            for name, x in zip(("target", "background"), loss, strict=True):
+                out[name].append(np.bincount(doc, x[back[lo:hi]] * n, size).tobytes())
+            out["n"].append(np.bincount(doc, n, size).astype(np.int32).tobytes())
+            for name in ("batch", "ids", "own"):
+                out[name].append(r[name])
+        return pa.table({k: pa.array(v, pa.int64() if k == "batch" else pa.binary()) for k, v in out.items()})
 
     return run
 
 
+PARTIAL = "batch long, ids binary, own binary, target binary, background binary, n binary"
+
+
+def _gathered(t: pa.Table) -> pa.Table:
+    """One batch's documents with the sums of all parts."""
+    rows = t.to_pylist()
+    ids = np.frombuffer(next(r["ids"] for r in rows if r["ids"]), np.int64)
+    sums = np.zeros((3, len(ids)))
+    for r in rows:
+        own = np.frombuffer(r["own"], np.uint16)
+        for k, (name, kind) in enumerate((("target", np.float64), ("background", np.float64), ("n", np.int32))):
+            sums[k, own] += np.frombuffer(r[name], kind)
+    some = sums[2] > 0
+    return pa.table({"doc_id": pa.array(ids[some]), "target": pa.array(sums[0, some]), "background": pa.array(sums[1, some]), "n": pa.array(sums[2, some].astype(np.int64))})
+
+
 def cross_entropy_difference(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) of every document.
 
@@ -206,7 +230,8 @@ def cross_entropy_difference(docs: DataFrame, chosen: DataFrame, id_col: str = "
     table = Unigrams(counts)
     parts = max(1, -(-int(counts[1].sum()) // PARTITION_TOKENS))
     packed = pack_bigrams(rows, table, parts)
-    scored = packed.groupBy("part").applyInArrow(_score(table), "doc_id long, target double, background double, n long")
+    partial = packed.groupBy("part").applyInArrow(_score(table), PARTIAL)
+    scored = partial.groupBy("batch").applyInArrow(_gathered, "doc_id long, target double, background double, n long")
     scored = scored.groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum("target").alias("t"), F.sum("background").alias("b"))
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"))
     out = out.distinct().join(scored, "doc_id", "left")
