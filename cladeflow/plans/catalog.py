@@ -5,11 +5,271 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cladeflow.functions.staging import stage, table
+from cladeflow.operators import components, mcl, network, orthogroups, scoring
+from cladeflow.plans import corpus
+from cladeflow.sources import files, sinks
+
+# The chain of common table expressions that the SQL of the documents shares.
+CHAIN = r"""
+with ws as (select doc_id, source, regexp_split_to_array(lower(trim(text)), '\s+') as w from documents),
+gene as (select source as taxon, doc_id as name, cast(len(w) - 4 as bigint) as length from ws where len(w) >= 5),
+sh as (select doc_id, source, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] as g
+       from (select doc_id, source, w, unnest(range(1, len(w) - 3)) as i from ws where len(w) >= 5)),
+occ as (select doc_id, source, g, count(*) as n from sh group by all),
+rare as (select g from occ group by g having count(*) between 2 and 50),
+hit as (select a.source as qt, b.source as tt, a.doc_id as query, b.doc_id as target, cast(sum(a.n) as bigint) as score
+        from occ a join rare using (g) join occ b using (g) group by all),
+norm as (select h.*, cast(score as double) / (q.length + t.length) as s from hit h
+         join gene q on q.name = h.query join gene t on t.name = h.target where score >= 10),
+best as (select qt, tt, query, target, s from
+         (select *, row_number() over (partition by qt, tt, query order by s desc, target) as k from norm) where k = 1),
+rbh as (select x.qt, x.tt, x.query, x.target, (x.s + y.s) / 2 as m from best x join best y
+        on x.qt = y.tt and x.tt = y.qt and x.query = y.target and x.target = y.query),
+corr as (select least(qt, tt) as lo, greatest(qt, tt) as hi, avg(m) as corr from rbh group by all),
+thr as (select query, min(m / corr) as thr from rbh join corr on lo = least(qt, tt) and hi = greatest(qt, tt) group by all),
+edge as (select least(n.query, n.target) as src, greatest(n.query, n.target) as dst, max(s / corr) as weight
+         from norm n join corr on lo = least(qt, tt) and hi = greatest(qt, tt) join thr on thr.query = n.query
+         where n.query <> n.target and s / corr >= thr - 1e-9 group by all)
+"""
+
+REACH = CHAIN.replace("\nwith ws", "\nwith recursive ws", 1) + """,
+ends as (select src as a, dst as b from edge union all select dst, src from edge),
+reach as (select a as node, a as seen from ends union select r.node, b.b from reach r join ends b on b.a = r.seen)
+"""
+
+
+def _rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if c in names else c for c in df.columns])
+
+
+def _part_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Parts bought in one order: a collection is a brand, the score the number of orders."""
+    line = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    part = table(spark, d, "part").select("p_partkey", "p_brand")
+    rows = line.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    a = rows.select("l_orderkey", F.col("p_brand").alias("qt"), F.col("p_partkey").alias("query"))
+    b = rows.select("l_orderkey", F.col("p_brand").alias("tt"), F.col("p_partkey").alias("target"))
+    hits = a.join(b, "l_orderkey").where("query <> target").groupBy("qt", "tt", "query", "target").agg(F.count("*").cast("double").alias("s"))
+    return hits.withColumn("line_no", F.col("target"))
+
+
+def scan_genes(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.genes(spark, d).select("taxon", "name", F.col("length").cast("long").alias("length"))
+
+
+def dup_id_check(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("taxon"), F.col("l_partkey").alias("name"))
+    return files.duplicate_ids(rows)
+
+
+def taxon_pairs(spark: SparkSession, d: str) -> DataFrame:
+    listed = table(spark, d, "nation").select(F.col("n_name").alias("taxon"), F.col("n_nationkey").alias("taxon_idx"))
+    return files.taxon_pairs(listed).select("qt", "tt")
+
+
+def search_plan(spark: SparkSession, d: str) -> DataFrame:
+    from cladeflow.operators import search
+
+    return search.commands(taxon_pairs(spark, d), "phmmer", "in", "out")
+
+
+def kmer_occurrences(spark: SparkSession, d: str) -> DataFrame:
+    occ = corpus.occurrences(spark, d)
+    return occ.groupBy("doc_id").agg(F.sum("n").alias("n_shingles"), F.count("*").alias("n_distinct"), F.max("n").alias("most"))
+
+
+def candidate_hits(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.hits(spark, d).select("qt", "tt", "query", "target", "score")
+
+
+def filter_evalue(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("len_q").cast("double") * F.col("len_t") * F.pow(F.lit(2.0), -F.col("score").cast("double"))
+    hits = scoring.filter_hits(corpus.merged(spark, d).withColumn("evalue", e), 1e-4)
+    return hits.select("qt", "tt", "query", "target", "score")
+
+
+def merge_lengths(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.merged(spark, d).select("query", "target", "score", F.col("len_q").cast("long").alias("len_q"), F.col("len_t").cast("long").alias("len_t"))
+
+
+def norm_score(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(corpus.norm_hits(spark, d).select("query", "target", "s"), "s")
+
+
+def best_hit(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(scoring.best_hits(corpus.norm_hits(spark, d)), "s")
+
+
+def best_hit_parts(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.best_hits(_part_hits(spark, d))
+
+
+def reciprocal_best_hits(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(scoring.reciprocal_best_hits(scoring.best_hits(corpus.norm_hits(spark, d))), "m")
+
+
+def pair_correction(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(scoring.pair_correction(scoring.reciprocal_best_hits(scoring.best_hits(corpus.norm_hits(spark, d)))), "corr")
+
+
+def gene_threshold(spark: SparkSession, d: str) -> DataFrame:
+    rbh = scoring.reciprocal_best_hits(scoring.best_hits(corpus.norm_hits(spark, d)))
+    return _rounded(scoring.gene_threshold(rbh, scoring.pair_correction(rbh)).select("query", "thr"), "thr")
+
+
+def edges(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(corpus.edges(spark, d), "weight")
+
+
+def edge_list_tsv(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.edge_lines(corpus.edges(spark, d).withColumn("weight", F.format_string("%.6f", "weight")))
+
+
+def connected(spark: SparkSession, d: str) -> DataFrame:
+    return components.connected_components(stage(corpus.edges(spark, d), "edges"))
+
+
+def mcl_converged(spark: SparkSession, d: str) -> DataFrame:
+    return mcl.markov_clusters(stage(corpus.edges(spark, d), "edges"))
+
+
+def mcl_round(spark: SparkSession, d: str) -> DataFrame:
+    """The matrix after loops, normalisation and one expansion and inflation."""
+    e = stage(corpus.edges(spark, d), "edges")
+    both = e.select(F.col("src").alias("i"), F.col("dst").alias("j"), F.col("weight").alias("v"))
+    both = both.unionByName(both.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"))
+    m = both.unionByName(both.groupBy("j").agg(F.max("v").alias("v")).select(F.col("j").alias("i"), "j", "v"))
+    m = m.join(m.groupBy("j").agg(F.sum("v").alias("t")), "j").select("i", "j", (F.col("v") / F.col("t")).alias("v"))
+    x = m.select("i", F.col("j").alias("k"), F.col("v").alias("a")).join(m.select(F.col("i").alias("k"), "j", F.col("v").alias("b")), "k")
+    x = x.groupBy("i", "j").agg(F.pow(F.sum(F.col("a") * F.col("b")), F.lit(1.5)).alias("v"))
+    x = x.join(x.groupBy("j").agg(F.sum("v").alias("t")), "j")
+    return x.select("i", "j", F.round(F.col("v") / F.col("t"), 5).alias("v"))
+
+
+def singletons(spark: SparkSession, d: str) -> DataFrame:
+    e = corpus.edges(spark, d)
+    nodes = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    return orthogroups.singletons(corpus.genes(spark, d), nodes).select("name", "taxon")
+
+
+def _component_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Groups from connected components, which SQL can check; Markov clusters refine them."""
+    clusters = connected(spark, d).withColumnRenamed("component", "cluster")
+    return orthogroups.orthogroups(corpus.genes(spark, d), clusters)
+
+
+def component_groups(spark: SparkSession, d: str) -> DataFrame:
+    return _component_groups(spark, d).select("og_idx", "og_label", F.col("name"), "taxon")
+
+
+def orthogroup_lines(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.group_lines(corpus.groups(spark, d))
+
+
+def gene_count_long(spark: SparkSession, d: str) -> DataFrame:
+    return orthogroups.gene_counts(_component_groups(spark, d)).select("og_idx", "taxon", "n")
+
+
+def gene_count_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """Line items a return flag and line status, 0 filled."""
+    rows = table(spark, d, "lineitem").select(F.year("l_shipdate").cast("long").alias("og_idx"), F.year("l_shipdate").cast("string").alias("og_label"), F.col("l_returnflag").alias("taxon"))
+    return orthogroups.count_matrix(rows, ["A", "N", "R"])
+
+
+def single_copy(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of one record a collection; the occupancy must exceed a twentieth."""
+    g = _component_groups(spark, d)
+    n = table(spark, d, "documents").select("source").distinct().count()
+    return orthogroups.single_copy(g, n, 0.05).select("og_idx", "n", "taxa")
+
+
+def single_copy_headers(spark: SparkSession, d: str) -> DataFrame:
+    rows = corpus.genes(spark, d).select(F.concat("taxon", F.lit(".fa")).alias("taxon"), F.col("name").cast("string").alias("name"))
+    return rows.select(orthogroups.taxon_header().alias("header"))
+
+
+def fasta_wrap70(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"[^!-~]", "").alias("seq"))
+    return rows.select("doc_id", orthogroups.wrapped().alias("fasta"))
+
+
+def og_names_compat(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.name_lines(_component_groups(spark, d))
+
+
+def run_stats(spark: SparkSession, d: str) -> DataFrame:
+    e = stage(corpus.edges(spark, d), "edges")
+    clusters = components.connected_components(e).withColumnRenamed("component", "cluster")
+    g = stage(orthogroups.orthogroups(corpus.genes(spark, d), clusters), "groups")
+    return orthogroups.run_statistics(corpus.genes(spark, d), e, g, orthogroups.single_copy(g, 20, 0.05))
+
+
+def edges_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    """The network of the vectors of the first two labels by rounded inner products."""
+    v = table(spark, d, "embeddings").where("label < 2").select("vec_id", F.col("label").cast("string").alias("label"), F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    a = v.select(F.lit(1).alias("one"), F.col("vec_id").alias("query"), F.col("label").alias("qt"), F.col("e").alias("x"))
+    b = v.select(F.lit(1).alias("one"), F.col("vec_id").alias("target"), F.col("label").alias("tt"), F.col("e").alias("y"))
+    dot = F.round(F.aggregate(F.zip_with("x", "y", lambda p, q: p * q), F.lit(0.0), lambda t, z: t + z), 9)
+    norm = a.join(b, "one").where("query <> target").select("qt", "tt", "query", "target", F.col("target").alias("line_no"), dot.alias("s")).where("s >= 0.3")
+    return _rounded(network.from_hits(stage(norm, "dots")), "weight")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    own = (scan_genes, dup_id_check, taxon_pairs, search_plan, kmer_occurrences, candidate_hits, filter_evalue, merge_lengths, norm_score, best_hit, best_hit_parts, reciprocal_best_hits, pair_correction, gene_threshold, edges, edge_list_tsv, mcl_converged, mcl_round, singletons, component_groups, orthogroup_lines, gene_count_long, gene_count_matrix, single_copy, single_copy_headers, fasta_wrap70, og_names_compat, run_stats)
+    return {f.__name__: f for f in own} | {"connected_components": connected}
+
+
+GROUPED = REACH + """,
+comp as (select node, min(seen) as cluster from reach group by node),
+member as (select g.name, g.taxon, coalesce(c.cluster, g.name) as cluster, c.node is null as alone,
+           cast(regexp_extract(g.taxon, '(\\d+)', 1) as int) as ti from gene g left join comp c on c.node = g.name),
+grp as (select alone, cluster, count(*) as size, min(ti) as ti from member group by all),
+ranked as (select *, cast(row_number() over (order by alone, case when alone then 0 else -size end,
+           case when alone then ti else 0 end, cluster) - 1 as bigint) as og_idx from grp),
+og as (select r.og_idx, m.name, m.taxon from member m join ranked r on r.alone = m.alone and r.cluster = m.cluster),
+label as (select og_idx, 'OG' || lpad(cast(og_idx as varchar), cast(greatest(length(cast(og_idx as varchar)), (select length(cast(count(*) as varchar)) from ranked)) as int), '0') as og_label from ranked)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "scan_genes": CHAIN + "select taxon, name, length from gene",
+        "dup_id_check": "select l_orderkey as taxon, l_partkey as name, count(*) as n from lineitem group by all having count(*) > 1",
+        "taxon_pairs": "select a.n_name as qt, b.n_name as tt from nation a cross join nation b",
+        "search_plan": "select a.n_name as qt, b.n_name as tt, 'phmmer --mx BLOSUM62 --noali --notextw --cpu 1 --tblout out/' || a.n_name || '_2_' || b.n_name || '.phmmerout.txt in/' || a.n_name || ' in/' || b.n_name as command from nation a cross join nation b",
+        "kmer_occurrences": CHAIN + "select doc_id, cast(sum(n) as bigint) as n_shingles, count(*) as n_distinct, max(n) as most from occ group by doc_id",
+        "candidate_hits": CHAIN + "select qt, tt, query, target, score from hit",
+        "filter_evalue": CHAIN + "select qt, tt, query, target, score from hit h join gene q on q.name = h.query join gene t on t.name = h.target where cast(q.length as double) * t.length * pow(2, -cast(score as double)) < 1e-4",
+        "merge_lengths": CHAIN + "select query, target, score, q.length as len_q, t.length as len_t from hit h join gene q on q.name = h.query join gene t on t.name = h.target",
+        "norm_score": CHAIN + "select query, target, round(s, 6) as s from norm",
+        "best_hit": CHAIN + "select qt, tt, query, target, round(s, 6) as s from best",
+        "best_hit_parts": """with l as (select distinct l_orderkey, l_partkey, p_brand from lineitem join part on p_partkey = l_partkey),
+n as (select a.p_brand as qt, b.p_brand as tt, a.l_partkey as query, b.l_partkey as target, cast(count(*) as double) as s
+from l a join l b on a.l_orderkey = b.l_orderkey where a.l_partkey <> b.l_partkey group by all)
+select qt, tt, query, target, s from (select *, row_number() over (partition by qt, tt, query order by s desc, target) as k from n) where k = 1""",
+        "reciprocal_best_hits": CHAIN + "select qt, tt, query, target, round(m, 6) as m from rbh",
+        "pair_correction": CHAIN + "select lo, hi, round(corr, 6) as corr from corr",
+        "gene_threshold": CHAIN + "select query, round(thr, 6) as thr from thr",
+        "edges": CHAIN + "select src, dst, round(weight, 6) as weight from edge",
+        "connected_components": REACH + "select node, min(seen) as component from reach group by node",
+        "mcl_round": CHAIN + """, b0 as (select src as i, dst as j, weight as v from edge union all select dst, src, weight from edge),
+m0 as (select i, j, v from b0 union all select j, j, max(v) from b0 group by j),
+m1 as (select i, j, v / sum(v) over (partition by j) as v from m0),
+m2 as (select a.i, b.j, pow(sum(a.v * b.v), 1.5) as v from m1 a join m1 b on a.j = b.i group by a.i, b.j)
+select i, j, round(v / sum(v) over (partition by j), 5) as v from m2""",
+        "edge_list_tsv": CHAIN + "select cast(src as varchar) || chr(9) || cast(dst as varchar) || chr(9) || printf('%.6f', weight) as value from edge",
+        "fasta_wrap70": "select doc_id, rtrim(regexp_replace(regexp_replace(text, '[^!-~]', '', 'g'), '(.{70})', '\\1' || chr(10), 'g'), chr(10)) as fasta from documents",
+        "singletons": CHAIN + "select name, taxon from gene where name not in (select src from edge union all select dst from edge)",
+        "component_groups": GROUPED + "select og.og_idx, og_label, name, taxon from og join label on label.og_idx = og.og_idx",
+        "gene_count_long": GROUPED + "select og_idx, taxon, count(*) as n from og group by all",
+        "gene_count_matrix": "select cast(year(l_shipdate) as bigint) as og_idx, cast(year(l_shipdate) as varchar) as og_label, " + ", ".join(f"count(*) filter (l_returnflag = '{f}') as \"{f}\"" for f in "ANR") + " from lineitem group by 1, 2",
+        "single_copy": GROUPED + "select og_idx, count(*) as n, count(distinct taxon) as taxa from og group by og_idx having count(*) = count(distinct taxon) and count(distinct taxon) / cast((select count(distinct source) from documents) as double) > 0.05",
+        "single_copy_headers": CHAIN + "select taxon || '|' || cast(name as varchar) as header from gene",
+        "og_names_compat": GROUPED + "select og_idx, og_label as value from label",
+        "run_stats": GROUPED + """, sized as (select og_idx, count(*) as n, count(distinct taxon) as taxa from og group by og_idx)
+select (select count(*) from gene) as n_genes, (select count(*) from edge) as n_edges, (select count(*) from sized) as n_orthogroups,
+(select count(*) from sized where n = taxa and taxa / 20.0 > 0.05) as n_single_copy, (select count(*) from sized where n = 1) as n_singletons""",
+    }
