@@ -150,7 +150,9 @@ def rules() -> list[tuple[int, str, int, str, str, str]]:
     for line in RULES.strip().splitlines():
         label, priority, patterns = (x.strip() for x in line.split(" | ", 2))
         for p in map(str.strip, patterns.split(" ;; ")):
-            fixed = re.sub(r"\([^()]*(\([^()]*\)[^()]*)*\)(\?|\{[^}]*\})", "", p).split()
+            optional = r"[^()]*(\([^()]*\)[^()]*)*\)(\?|\{[^}]*\})"
+            # optional words go; a word with an optional part is not literal
+            fixed = re.sub(r"\(" + optional, "*", re.sub(r"\( " + optional, "", p)).split()
             literal = [w for w in fixed if re.fullmatch(r"\w+", w)]
             out.append((len(out), label, int(priority), literal[0], max(literal, key=len), p))
     return out
