@@ -188,7 +188,7 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     took = taken_segments(slots, segments).where("copy = 0")
     took = took.groupBy("doc_id", "k", "size", "turn").agg(F.sort_array(F.collect_list(F.struct("word", "n"))).alias("parts"), F.sum("n").alias("all"))
     took = took.join(sources.select("k", F.col("source").alias("_s")), "k").select(F.col("doc_id").alias("_d"), "_s", F.col("size").alias("_n"), "turn", F.when(F.col("all") < F.col("size"), F.col("parts")).alias("parts"))
-    took = stage(took, "taken")
+    took = stage(took, "taken").hint("merge")  # grows with the input: never broadcast
     rows = docs.withColumn("_w", F.regexp_count(text_col, F.lit(WORD)).cast("long"))
     out = rows.join(took, rows[id_col].cast("long").eqNullSafe(took["_d"]) & rows[source_col].cast("string").eqNullSafe(took["_s"]) & (rows["_w"] == took["_n"]))
     words = F.regexp_extract_all(text_col, F.lit(WORD + r"[\x20\x09-\x0D]*"), 0)
