@@ -126,7 +126,9 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     counts = counts.select("k", "shard", "n", "first").unionByName(makeup)
 
     own = sources.select("k", "blocks", "passes", "words", "slots")
-    spread = counts.join(own, "k").repartition("k", "shard")
+    # a row becomes up to shard_slots rows, so rows are dealt out before, in a number that stays
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = counts.join(own, "k").repartition(tasks, "k", "shard")
     slots = spread.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("place")).withColumn("slot", F.col("first") + F.col("place")).where("slot < slots")
     turn = F.floor(F.col("slot") / F.col("blocks"))
     slots = slots.withColumn("turn", turn).withColumn("block", permuted(F.col("slot") - F.col("turn") * F.col("blocks"), F.col("blocks"), seed, F.col("k"), F.col("turn")))
@@ -161,7 +163,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
 def taken_segments(slots: DataFrame, segments: DataFrame) -> DataFrame:
     """Slots joined with the documents' words in their blocks."""
-    got = slots.join(segments, ["k", "block"])
+    got = slots.join(segments.hint("merge"), ["k", "block"])  # both grow with the input
     n = F.greatest(F.lit(0), F.least(F.col("n"), F.col("limit") - F.col("offset")))
     return got.withColumn("n", n).where("n > 0")
 
