@@ -80,8 +80,11 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dims: int, n_langs: int, *, epochs: int = 4, batch: int = 16, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (dims x languages) and bias by proximal FTRL over small batches."""
+def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dims: int, n_langs: int, *, epochs: int = 4, least: int = 1200, batch: int = 16, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (dims x languages) and bias by proximal FTRL over small batches.
+
+    Passes are repeated until there were ``least`` updates, so that small samples converge.
+    """
     z, s = np.zeros((dims + 1, n_langs)), np.zeros((dims + 1, n_langs))
 
     def weights(at: np.ndarray | slice) -> np.ndarray:
@@ -90,7 +93,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dims: in
         return np.where(np.abs(zz) <= l1, 0.0, w)
 
     rng = np.random.default_rng(seed)
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-least * batch // max(1, len(rows))))):
         order = rng.permutation(len(rows))
         for lo in range(0, len(order), batch):
             own = order[lo : lo + batch]
@@ -117,11 +120,18 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def calibrate(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The temperature with the least loss on documents kept apart."""
+    """The temperature with the least loss on documents kept apart.
+
+    Targets are smoothed by one document, so that a few perfect answers do not make the
+    model certain.
+    """
     if not len(labels):
         return 1.0
+    n, k = logits.shape
+    target = np.full((n, k), 1 / (n + 2) / max(1, k - 1))
+    target[np.arange(n), labels] = 1 - 1 / (n + 2)
     grid = np.exp(np.linspace(np.log(0.02), np.log(20), 200))
-    loss = [-np.log(softmax(logits / t)[np.arange(len(labels)), labels] + 1e-12).mean() for t in grid]
+    loss = [-(target * np.log(softmax(logits / t) + 1e-300)).sum() for t in grid]
     return float(grid[int(np.argmin(loss))])
 
 
