@@ -226,7 +226,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return predict(docs, model, id_col, text_col).select("doc_id", in_held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.35) -> DataFrame:
     """``docs`` without the rows whose text has no language or a score under ``least``."""
     names = list(docs.columns)
     model = fit(docs, id_col, text_col, lang_col)
