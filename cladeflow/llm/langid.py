@@ -230,5 +230,7 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``docs`` without the rows whose text has no language or a score under ``least``."""
     names = list(docs.columns)
     model = fit(docs, id_col, text_col, lang_col)
-    out = predict(docs.withColumnRenamed(id_col, "doc_id") if id_col != "doc_id" else docs, model, "doc_id", text_col, tuple(c for c in names if c != id_col))
-    return out.where((F.col("lang_pred") != UND) & (F.col("score") >= least)).withColumnRenamed("doc_id", id_col).select(*names)
+    kept = [f"_k{k}" for k in range(len(names))]  # names of the caller's that clash with ours
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), *[F.col(c).alias(k) for c, k in zip(names, kept, strict=True)])
+    out = predict(rows, model, "_id", "_t", tuple(kept)).where((F.col("lang_pred") != UND) & (F.col("score") >= least))
+    return out.select(*[F.col(k).alias(c) for c, k in zip(names, kept, strict=True)])
