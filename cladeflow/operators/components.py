@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from cladeflow.functions.staging import stage
 
+ROWS_PER_TASK = 200_000
+
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 200) -> DataFrame:
     """(node, component) of every node in ``edges``; component is the smallest node reachable.
@@ -22,6 +24,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     alone = e.where("u = v").select(F.col("u").alias("node"))
     e = stage(e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
 
+    def few(t: DataFrame) -> DataFrame:
+        """Fewer output tasks for few edges; the number follows from the edges counted before."""
+        return t.coalesce(max(1, -(-before[0] // ROWS_PER_TASK)))
+
     def mark(t: DataFrame) -> tuple:
         return tuple(t.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
@@ -32,11 +38,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         big = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        big = stage(big.where("u <> v").distinct(), "cc")
+        big = stage(few(big.where("u <> v").distinct()), "cc")
         low = big.groupBy("u").agg(F.min("v").alias("m"))
         linked = big.join(low, "u")
         small = linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stage(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        e = stage(few(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()), "cc")
         now = mark(e)
         if now == before:
             break
