@@ -19,7 +19,7 @@ union of shortest ones; touching runs are joined before they are deleted.
 Order of copies: (doc_id, hash of the text, line). Defined results: a null text stays
 null, an empty one empty; a row with null doc_id is returned unchanged and takes no part;
 rows that agree in doc_id and text are one document, so neither is a copy of the other;
-blank lines inside a deleted run go with it.
+a blank line goes when one of those shortest runs spans it.
 """
 
 from __future__ import annotations
