@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeflow.functions.staging import stage, table
-from cladeflow.operators import components, mcl, network, orthogroups, scoring
+from cladeflow.operators import components, mcl, orthogroups, scoring
 from cladeflow.plans import corpus
 from cladeflow.sources import files, sinks
 
@@ -207,16 +207,6 @@ def run_stats(spark: SparkSession, d: str) -> DataFrame:
     return orthogroups.run_statistics(corpus.genes(spark, d), e, g, orthogroups.single_copy(g, 20, 0.05))
 
 
-def edges_embeddings(spark: SparkSession, d: str) -> DataFrame:
-    """The network of the vectors of the first two labels by rounded inner products."""
-    v = table(spark, d, "embeddings").where("label < 2").select("vec_id", F.col("label").cast("string").alias("label"), F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    a = v.select(F.lit(1).alias("one"), F.col("vec_id").alias("query"), F.col("label").alias("qt"), F.col("e").alias("x"))
-    b = v.select(F.lit(1).alias("one"), F.col("vec_id").alias("target"), F.col("label").alias("tt"), F.col("e").alias("y"))
-    dot = F.round(F.aggregate(F.zip_with("x", "y", lambda p, q: p * q), F.lit(0.0), lambda t, z: t + z), 9)
-    norm = a.join(b, "one").where("query <> target").select("qt", "tt", "query", "target", F.col("target").alias("line_no"), dot.alias("s")).where("s >= 0.3")
-    return _rounded(network.from_hits(stage(norm, "dots")), "weight")
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (scan_genes, dup_id_check, taxon_pairs, search_plan, kmer_occurrences, candidate_hits, filter_evalue, merge_lengths, norm_score, best_hit, best_hit_parts, reciprocal_best_hits, pair_correction, gene_threshold, edges, edge_list_tsv, mcl_converged, mcl_round, singletons, component_groups, orthogroup_lines, gene_count_long, gene_count_matrix, single_copy, single_copy_headers, fasta_wrap70, og_names_compat, run_stats)
     return {f.__name__: f for f in own} | {"connected_components": connected}
