@@ -37,9 +37,9 @@ from cladeflow.llm.tokens import BASE, INVERSE, mix, powers
 
 MARK = 0x2581
 LONG = 48
-CHUNK_CHARS = 4_000_000
-KNOWN_WORDS = 1_000_000  # distinct words that a Python worker remembers between batches
-BATCH_ROWS = 2000
+CHUNK_CHARS = 1_000_000
+KNOWN_WORDS = 500_000  # distinct words that a Python worker remembers between batches
+BATCH_ROWS = 500
 SLOTS = 20  # bits of the index into the tables of piece keys
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
