@@ -35,9 +35,9 @@ from cladeflow.llm.tokens import mix, words
 
 VOCABULARY = 50_000
 MU = 100.0
-BATCH_ROWS = 10_000  # places in a batch must fit 16 bits
+BATCH_ROWS = 2_500  # places in a batch must fit 16 bits
 MOST_WORDS = 65_000  # places must fit 16 bits
-PARTITION_TOKENS = 2_000_000  # about the tokens of one part, whatever the input
+PARTITION_TOKENS = 1_000_000  # about the tokens of one part, whatever the input
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
