@@ -1,20 +1,25 @@
 """Document scores by cross-entropy difference of two n-gram models.
 
 A target model (words of chosen documents, such as those labelled good) and a background
-model (words of all documents) share one vocabulary: the ``vocabulary`` most frequent
-words of the corpus, the unknown word and an end mark. Both are bigram models with
-Dirichlet smoothing towards their own unigrams, which are smoothed by one count:
+model (words of all documents) share one vocabulary: every word of the corpus (or, where
+``vocabulary`` is given, that many most frequent ones), the unknown word and an end mark.
+Both are bigram models with Dirichlet smoothing towards their own unigrams, which are
+smoothed by one count:
 
     p(w | h) = (c(h, w) + MU p(w)) / (c(h) + MU),   p(w) = (c(w) + 1) / (N + V)
 
 A document's score is the mean over its tokens (words and the end mark) of the target's
 loss less the background's: the lower, the more like the target.
 
-Counts cover every document and grow with the corpus: bigrams are neither hashed together
-nor cut off. Each document's bigrams are sent once, packed and counted, to the partition
-of their hash; the same task counts a bigram over the corpus and scores all documents
-that hold it, and the sums go back to the batch of documents they came from, so no table of bigrams is collected or broadcast. Only the unigram tables,
-bounded by the vocabulary, go to every task.
+Counts cover every document and grow with the corpus: neither words nor bigrams are cut
+off. Words are 64-bit hashes. Each document's bigrams are sent once, packed and counted, to
+the partition of their second word, so that the same task counts words and bigrams over the
+corpus and scores all documents that hold them. The losses of a document hold log(c(h) + MU)
+once for its start and each of its words, which are its tokens again (as many starts as end
+marks), so that a token's own partition adds it and no unigram count is needed elsewhere.
+Bigrams of a word that would fill a partition are dealt by both words; only the counts of
+such words (at most 20 for each ``PARTITION_TOKENS``), the unknown word and the end mark go
+to every task. The sums go back to the batch of documents they came from.
 
 Defined results: a null, empty or blank text has no tokens and a null score; rows with one
 doc_id are scored as one document; without target documents the target model is uniform.
@@ -24,97 +29,106 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeflow.functions.staging import stage
+from cladeflow.functions.staging import stage, unstage
 from cladeflow.llm.tokens import mix, words
 
-VOCABULARY = 50_000
 MU = 100.0
 BATCH_ROWS = 2_500  # places in a batch must fit 16 bits
-MOST_WORDS = 65_000  # places must fit 16 bits
 PARTITION_TOKENS = 1_000_000  # about the tokens of one part, whatever the input
+END, UNKNOWN = np.uint64(0), np.uint64(1)  # as words; END as a history is the start
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n) by word hash over all rows; a task sends a word once for each million it holds."""
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(word, n, target) by word hash, over all rows and over target rows; END counts texts with words."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for b in batches:
-            for w in words(b["text"]):
-                h, back = np.unique(np.concatenate((h, w.hashes)), return_inverse=True)
-                n = np.bincount(back, np.concatenate((n, np.ones(len(w.hashes)))), len(h)).astype(np.int64)
-                if len(h) > 1_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["word", "n"])
-                    h, n = h[:0], n[:0]
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["word", "n"])
-
-    return texts.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def index_of(h: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Places of hashes in the sorted vocabulary; its length stands for the unknown word."""
-    if not len(known):
-        return np.zeros(len(h), np.int64)
-    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-    return np.where(known[at] == h, at, len(known))
+    def merged(parts: list[np.ndarray]) -> np.ndarray:
+        h, n, t = np.concatenate(parts, axis=1)
+        u, back = np.unique(h, return_inverse=True)
+        return np.stack((u, *(np.bincount(back, x, len(u)).astype(np.uint64) for x in (n, t))))
 
-
-def encoded(texts: DataFrame, known: np.ndarray) -> DataFrame:
-    """(doc_id, seq): each text's words as 16-bit places in the vocabulary."""
+    def batch(x: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in np.ascontiguousarray(x)], names=["word", "n", "target"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for b in batches:
-            seq = []
+            chosen = b["target"].to_numpy(zero_copy_only=False)
             for w in words(b["text"]):
-                x = index_of(w.hashes, known).astype(np.uint16)
-                seq += [x[lo:hi].tobytes() for lo, hi in zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(seq, pa.binary())], names=["doc_id", "seq"])
-
-    return texts.mapInArrow(run, "doc_id long, seq binary")
+                size, own = np.diff(w.bounds), chosen[w.lo : w.hi]
+                ends = size > 0
+                h = np.concatenate((w.hashes, np.full(ends.sum(), END)))
+                t = np.concatenate((np.repeat(own, size), own[ends])).astype(np.uint64)
+                if not len(h):
+                    continue
+                parts.append(merged([np.stack((h, np.ones(len(h), np.uint64), t))]))
+                held += parts[-1].shape[1]
+                if held > 1_000_000:
+                    parts = [merged(parts)]
+                    held = parts[0].shape[1]
+                    if held > 500_000:
+                        yield batch(parts[0])
+                        parts, held = [], 0
+        if parts:
+            yield batch(merged(parts))
 
+    return rows.select("text", "target").mapInArrow(run, "word long, n long, target long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("target").alias("target"))
 
-def unigram_counts(rows: DataFrame, size: int) -> np.ndarray:
-    """Counts of places, and of texts with words at the end, for target and for all rows."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((2, size + 1), np.int64)
-        for b in batches:
-            for seq, target in zip(b["seq"], b["target"].to_pylist(), strict=True):
-                x = np.bincount(np.frombuffer(seq.as_py(), np.uint16), minlength=size)
-                x = np.append(x, bool(x.any()))
-                n[1] += x
-                if target:
-                    n[0] += x
-        for k in (0, 1):
-            at = np.flatnonzero(n[k])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at), pa.array(n[k][at])], names=["model", "at", "n"])
+class Unigrams(NamedTuple):
+    """Totals of the unigrams, and the counts of the words that are dealt by both words of a bigram."""
 
-    got = rows.select("seq", "target").mapInArrow(run, "model int, at long, n long").groupBy("model", "at").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros((2, size + 1), np.int64)
-    out[got["model"].to_numpy(), got["at"].to_numpy()] = got["n"].to_numpy()
-    return out
+    size: int  # the words of the vocabulary, the unknown word and the end mark
+    totals: tuple[int, int]  # tokens of target rows and of all rows
+    dealt: np.ndarray  # sorted words
+    counts: np.ndarray  # their counts in target rows and in all rows
+    known: np.ndarray | None  # the sorted vocabulary where it is bounded
 
+    def encoded(self, h: np.ndarray) -> np.ndarray:
+        """Words outside a bounded vocabulary become the unknown word."""
+        return h if self.known is None else np.where(found(h, self.known)[0], h, UNKNOWN)
 
-class Unigrams:
-    """Both models' shared vocabulary (words, the unknown word, the end mark) and unigrams."""
 
-    def __init__(self, counts: np.ndarray):
-        self.size = counts.shape[1]  # the last place is the end mark; as a history, the start
-        self.logs = [(c + 1) / (c.sum() + self.size) for c in counts]
-        self.history = list(counts)  # each text has one start, and its last word precedes the end
+def found(h: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether words are in a sorted table that is not empty, and their places."""
+    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    return known[at] == h, at
+
+
+def unigrams(rows: DataFrame, vocabulary: int | None) -> Unigrams:
+    counts = stage(word_counts(rows), "words")
+    some = counts.where(F.col("word") != int(END))
+    total = counts.agg(F.sum("n"), F.sum("target"), F.count_if(F.col("word") != int(END))).first()
+    n, target, distinct = total[0] or 0, total[1] or 0, total[2]
+    texts = counts.where(F.col("word") == int(END)).select("n", "target").first() or (0, 0)
+    least, known, unknown = PARTITION_TOKENS // 20, None, (0, 0)
+    if vocabulary is not None and vocabulary < distinct:
+        got = some.orderBy(F.desc("n"), "word").limit(vocabulary).toArrow()
+        known = np.sort(np.append(got["word"].to_numpy().view(np.uint64), (END, UNKNOWN)))
+        unknown = (n - texts[0] - int(got["n"].to_numpy().sum()), target - texts[1] - int(got["target"].to_numpy().sum()))
+        distinct = vocabulary
+        got = got.filter(pc.greater(got["n"], least))
+    else:
+        got = some.where(F.col("n") > least).toArrow()
+    unstage(counts)
+    word = np.append(got["word"].to_numpy().view(np.uint64), (END, UNKNOWN))
+    both = np.array([np.append(got[c].to_numpy(), (texts[k], unknown[k])) for k, c in ((1, "target"), (0, "n"))], np.int64)
+    order = np.argsort(word)
+    return Unigrams(distinct + 2, (target, n), word[order], both[:, order], known)
 
 
 def pack_bigrams(rows: DataFrame, table: Unigrams, parts: int) -> DataFrame:
     """Distinct bigrams of the documents of a batch with their counts, a row for each part.
 
     A row holds the batch's name, the rows of the batch that it has (``own``) with their
-    target flags and, for each bigram and document, the bigram's low and high bits, the
+    target flags and, for each bigram and document, the second word, the first word, the
     document's place in ``own`` and the count, each as a packed column; counts from 255 on
     are in ``large``. The batch's first row also has the doc_ids of the whole batch.
     """
@@ -122,69 +136,81 @@ def pack_bigrams(rows: DataFrame, table: Unigrams, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x.slice(lo, BATCH_ROWS) for x in batches for lo in range(0, x.num_rows, BATCH_ROWS)):
             ids, chosen = b["doc_id"].to_numpy(zero_copy_only=False), b["target"].to_numpy(zero_copy_only=False)
-            keys, docs = [], []
-            seqs = [np.frombuffer(x.as_py(), np.uint16) for x in b["seq"]]
-            for lo in range(0, len(seqs), 512):
-                some = seqs[lo : lo + 512]
-                n = np.array([len(x) for x in some])
+            firsts, seconds, docs = [], [], []
+            for some in words(b["text"]):
+                n = np.diff(some.bounds)
                 full = np.flatnonzero(n)
                 if not len(full):
                     continue
                 # each document as start, words, end: histories and words side by side
-                x = np.concatenate(some).astype(np.int64)
+                x = table.encoded(some.hashes)
                 size = n[full] + 1
                 first = np.cumsum(size) - size
-                prior, following = np.empty(size.sum(), np.int64), np.empty(size.sum(), np.int64)
+                prior, following = np.full(size.sum(), END), np.full(size.sum(), END)
                 inner = np.ones(size.sum(), bool)
                 inner[first] = False
-                prior[first], prior[inner] = table.size - 1, x
+                prior[inner] = x
                 inner[:] = True
                 inner[first + size - 1] = False
-                following[inner], following[~inner] = x, table.size - 1
-                keys.append(prior * table.size + following)
-                docs.append(np.repeat(full + lo, size))
-            if not keys:
+                following[inner] = x
+                firsts.append(prior)
+                seconds.append(following)
+                docs.append(np.repeat(full + some.lo, size).astype(np.uint16))
+            if not docs:
                 continue
-            key, doc = np.concatenate(keys), np.concatenate(docs)
-            part = (mix(key.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-            order = np.lexsort((key, doc, part))
-            key, doc, part = key[order], doc[order], part[order]
-            new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (part[1:] != part[:-1]))))
-            count = np.diff(np.append(new, len(key))).astype(np.int32)
-            key, doc, part = key[new], doc[new], part[new]
+            h, w, doc = np.concatenate(firsts), np.concatenate(seconds), np.concatenate(docs)
+            key = mix(w)
+            key = np.where(found(w, table.dealt)[0], mix(key ^ h), key)
+            part = (key % np.uint64(parts)).astype(np.int32)
+            order = np.lexsort((doc, h, w, part))
+            h, w, doc, part = h[order], w[order], doc[order], part[order]
+            new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (w[1:] != w[:-1]) | (doc[1:] != doc[:-1]) | (part[1:] != part[:-1]))))
+            count = np.diff(np.append(new, len(h))).astype(np.int32)
+            h, w, doc, part = h[new], w[new], doc[new], part[new]
             cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
             name = int.from_bytes(hashlib.blake2b(ids.astype(np.int64).tobytes(), digest_size=8).digest(), "little", signed=True)
             out = []
             for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 own, at = np.unique(doc[lo:hi], return_inverse=True)
-                pairs = (key[lo:hi].astype(np.uint32).tobytes(), (key[lo:hi] >> 32).astype(np.uint8).tobytes(), at.astype(np.uint16).tobytes(), np.minimum(count[lo:hi], 255).astype(np.uint8).tobytes(), count[lo:hi][count[lo:hi] >= 255].astype(np.int32).tobytes())
-                out.append((int(part[lo]), name, b"" if out else ids.astype(np.int64).tobytes(), own.astype(np.uint16).tobytes(), chosen[own].astype(np.uint8).tobytes(), *pairs))
+                n = count[lo:hi]
+                pairs = (w[lo:hi].tobytes(), h[lo:hi].tobytes(), at.astype(np.uint16).tobytes(), np.minimum(n, 255).astype(np.uint8).tobytes(), n[n >= 255].tobytes())
+                out.append((int(part[lo]), name, b"" if out else ids.astype(np.int64).tobytes(), own.tobytes(), chosen[own].astype(np.uint8).tobytes(), *pairs))
             kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 8)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["part", "batch", "ids", "own", "target", "low", "high", "doc", "count", "large"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["part", "batch", "ids", "own", "target", "word", "history", "doc", "count", "large"])
 
-    return rows.mapInArrow(run, "part int, batch long, ids binary, own binary, target binary, low binary, high binary, doc binary, count binary, large binary")
+    return rows.mapInArrow(run, "part int, batch long, ids binary, own binary, target binary, word binary, history binary, doc binary, count binary, large binary")
 
 
 def _score(table: Unigrams):
-    """Counts the bigrams of one part over the corpus and scores what each batch has of them."""
+    """Counts the words and bigrams of one part over the corpus and scores what each batch has of them."""
 
     def run(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
-        key, count, weight, spans, at = [], [], [], [], 0
+        word, history, count, weight, spans, at = [], [], [], [], [], 0
         for r in rows:
-            key.append(np.frombuffer(r["low"], np.uint32).astype(np.int64) | np.frombuffer(r["high"], np.uint8).astype(np.int64) << 32)
+            word.append(np.frombuffer(r["word"], np.uint64))
+            history.append(np.frombuffer(r["history"], np.uint64))
             n = np.frombuffer(r["count"], np.uint8).astype(np.int64)
             n[n == 255] = np.frombuffer(r["large"], np.int32)
             count.append(n)
             weight.append(np.frombuffer(r["target"], np.uint8)[np.frombuffer(r["doc"], np.uint16)] * n)
             spans.append((at, at + len(n)))
             at += len(n)
-        both, back = np.unique(np.concatenate(key), return_inverse=True)
-        prior, following = both // table.size, both % table.size
+        w, h = np.concatenate(word), np.concatenate(history)
+        order = np.lexsort((h, w))
+        w, h = w[order], h[order]
+        next_word = np.concatenate(([True], w[1:] != w[:-1]))
+        new = next_word.copy()
+        new[1:] |= h[1:] != h[:-1]
+        back = np.empty(len(w), np.int64)
+        back[order] = np.cumsum(new) - 1
+        of = (np.cumsum(next_word) - 1)[new]  # the word of each bigram
+        dealt, place = found(w[next_word], table.dealt)
         loss = []
-        for k, w in enumerate((np.concatenate(weight), np.concatenate(count))):
-            c = np.bincount(back, w, len(both))
-            loss.append(-np.log((c + MU * table.logs[k][following]) / (table.history[k][prior] + MU)))
+        for k, x in enumerate((np.concatenate(weight), np.concatenate(count))):
+            c = np.bincount(back, x, len(of))
+            u = np.where(dealt, table.counts[k][place], np.bincount(of, c))
+            loss.append(np.log(u + MU)[of] - np.log(c + (MU * (u + 1) / (table.totals[k] + table.size))[of]))
         out: dict[str, list] = {"batch": [], "ids": [], "own": [], "target": [], "background": [], "n": []}
         for r, (lo, hi), n in zip(rows, spans, count, strict=True):
             doc = np.frombuffer(r["doc"], np.uint16)
@@ -215,20 +241,18 @@ def _gathered(t: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(ids[some]), "target": pa.array(sums[0, some]), "background": pa.array(sums[1, some]), "n": pa.array(sums[2, some].astype(np.int64))})
 
 
-def cross_entropy_difference(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int | None = None) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) of every document.
 
-    ``chosen`` has the doc_id of each target document.
+    ``chosen`` has the doc_id of each target document. ``vocabulary`` bounds the words that
+    are told apart; without it all are.
     """
     good = chosen.select(F.col(chosen.columns[0]).cast("long").alias("doc_id"), F.lit(True).alias("target")).where("doc_id is not null").distinct()
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    top = word_counts(base).orderBy(F.desc("n"), "word").limit(min(vocabulary, MOST_WORDS)).toArrow()
-    known = np.sort(top["word"].to_numpy().view(np.uint64))
-    rows = encoded(base, known).join(good.hint("merge"), "doc_id", "left")
-    rows = stage(rows.select("doc_id", "seq", F.coalesce("target", F.lit(False)).alias("target")), "encoded")
-    counts = unigram_counts(rows, len(known) + 1)
-    table = Unigrams(counts)
-    parts = max(1, -(-int(counts[1].sum()) // PARTITION_TOKENS))
+    rows = base.join(good.hint("merge"), "doc_id", "left")
+    rows = stage(rows.select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target")), "texts")
+    table = unigrams(rows, vocabulary)
+    parts = max(1, -(-table.totals[1] // PARTITION_TOKENS))
     packed = pack_bigrams(rows, table, parts)
     partial = packed.groupBy("part").applyInArrow(_score(table), PARTIAL)
     scored = partial.groupBy("batch").applyInArrow(_gathered, "doc_id long, target double, background double, n long")

@@ -85,3 +85,22 @@ def test_lm_scores_against_brute_force(spark, monkeypatch, vocabulary):
         loss = [np.mean([m(*p) for p in zip(seq, seq[1:])]) for m in (target, background)]
         assert got[i].target_loss == pytest.approx(loss[0]) and got[i].score == pytest.approx(loss[0] - loss[1])
     assert xent.cross_entropy_difference(docs.limit(0), docs.select("doc_id").limit(0)).count() == 0
+
+
+def test_lm_takes_every_word(spark):
+    texts = {i: " ".join(f"w{i * 700 + k}" for k in range(700)) for i in range(100)} | {200: "w1 w2 rare", 201: "w1 w2 seldom"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    uni, bi, hist = Counter(), Counter(), Counter()
+    for t in texts.values():
+        seq = ["<s>", *t.split(), "</s>"]
+        uni.update(seq[1:])
+        hist.update(seq[:-1])
+        bi.update(zip(seq, seq[1:]))
+    for vocabulary in (None, 70_002):
+        got = {r.doc_id: r for r in xent.cross_entropy_difference(docs, spark.createDataFrame([(200,)], "doc_id long"), vocabulary=vocabulary).collect()}
+        smooth = xent.MU / (sum(uni.values()) + len(uni) + 1)
+        for i in (0, 99, 200, 201):
+            seq = ["<s>", *texts[i].split(), "</s>"]
+            loss = np.mean([-math.log((bi[q] + smooth * (uni[q[1]] + 1)) / (hist[q[0]] + xent.MU)) for q in zip(seq, seq[1:])])
+            assert got[i].background_loss == pytest.approx(loss)
+        assert got[200].target_loss < got[201].target_loss
