@@ -3,14 +3,15 @@
 The text view sees the words and the shape of the text: hashed word frequencies and rates
 of letters, capitals, digits, punctuation, repeated words and lines. The metadata view
 sees what describes the page: hashed source and language, and its length. Each view has a
-logistic regression. In each round, every view labels the pool documents it is most sure
-of, in the proportion of the labelled classes, for the other view; then both are fitted
-again. Finally each view's scores are calibrated on labelled documents kept apart (Platt
+logistic regression. In each round, a pass scores all unlabelled documents, and every view
+labels those it is most sure of among all of them, in the proportion of the labelled
+classes, for the other view; then both are fitted again. Finally each view's scores are calibrated on labelled documents kept apart (Platt
 scaling), and the calibrated log-odds are combined with weights by how well each view
 does there.
 
-The fit uses bounded samples, chosen by hashes of the id: about ``LABELLED`` labelled rows
-and about ``POOL`` unlabelled ones. Every document is scored.
+The fit uses a bounded sample of about ``LABELLED`` labelled rows, chosen by hashes of the
+id, and ``PER_ROUND`` pseudo-labels a view and round. The latter are a parameter of the fit:
+they come from all unlabelled documents, of which none is left out. Every document is scored.
 
 Defined results: a null text counts as empty; null metadata is a value of its own; a row
 with null doc_id is scored but never trains; with no labels, or of one class only, the
@@ -21,7 +22,7 @@ score is that class's share, 0.5 without labels. A document with several labels
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -29,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cladeflow.functions.staging import stage, unstage
 from cladeflow.llm.tokens import utf8, words
 
 LABELLED = 4000
-POOL = 4000
 WORD_DIMS = 512
 META_DIMS = 128
 ROUNDS = 5
@@ -172,38 +173,36 @@ class Model(NamedTuple):
         return out[0], out[1], sigmoid(z)
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray) -> Model:
-    """y: 0 or 1 for each labelled row, in an order that has nothing to do with it."""
+def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, most_sure: Callable[..., list[dict[int, tuple[float, np.ndarray]]]]) -> Model:
+    """y: 0 or 1 for each labelled row, in an order that has nothing to do with it.
+
+    ``most_sure(models, given, n_good, n_bad)`` has for each view what it labels for the
+    other: by doc_id, the label and the features in the other view.
+    """
     if len(np.unique(y)) < 2:
         return Model(None, None, (1, 0, 0.5), (1, 0, 0.5), float(y[0]) if len(y) else 0.5)
     apart = np.arange(len(y)) % 4 == 3
     if len(np.unique(y[~apart])) < 2 or len(np.unique(y[apart])) < 2:
         apart[:] = False
-    views = ((text, pool_text), (meta, pool_meta))
+    views = (text, meta)
     share = y[~apart].mean()
-    given: list[dict[int, float]] = [{}, {}]  # for each view, what the other has labelled
+    given: list[dict[int, tuple[float, np.ndarray]]] = [{}, {}]  # for each view, what the other has labelled
 
     def fitted(v: int, start: np.ndarray | None = None) -> np.ndarray:
-        x, pool = views[v]
-        at = np.array(list(given[v]), np.int64)
-        extra = np.array(list(given[v].values()))
-        weight = np.concatenate((np.ones((~apart).sum()), np.full(len(at), 0.5)))
-        return logistic(np.vstack((x[~apart], pool[at])), np.concatenate((y[~apart], extra)), weight, start, steps=80 if start is not None else 300)
+        extra = np.array([c for c, _ in given[v].values()])
+        weight = np.concatenate((np.ones((~apart).sum()), np.full(len(extra), 0.5)))
+        return logistic(np.vstack((views[v][~apart], *[x for _, x in given[v].values()])), np.concatenate((y[~apart], extra)), weight, start, steps=80 if start is not None else 300)
 
     models = [fitted(0), fitted(1)]
     for _ in range(ROUNDS):
-        for v in (0, 1):
-            z = logits(views[v][1], models[v])
-            z[list(given[1 - v])] = 0  # each document once
-            order = np.argsort(z, kind="stable")
-            good, bad = order[::-1][: round(PER_ROUND * share)], order[: round(PER_ROUND * (1 - share))]
-            given[1 - v] |= {int(i): 1.0 for i in good if z[i] > 0} | {int(i): 0.0 for i in bad if z[i] < 0}
+        for v, found in enumerate(most_sure(models, given, round(PER_ROUND * share), round(PER_ROUND * (1 - share)))):
+            given[1 - v] |= found
         models = [fitted(v, models[v]) for v in (0, 1)]
     held = apart if apart.any() else ~apart
     scales, gains = [], []
     base = -np.log(np.where(y[held] == 1, y[held].mean(), 1 - y[held].mean())).mean()
     for v in (0, 1):
-        z = logits(views[v][0][held], models[v])
+        z = logits(views[v][held], models[v])
         a, b = platt(z, y[held])
         p = sigmoid(a * z + b)
         gains.append(max(1e-6, base + np.log(np.clip(np.where(y[held] == 1, p, 1 - p), 1e-9, 1)).mean()))
@@ -215,7 +214,7 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.nd
 # ---------------------------------------------------------------- Spark
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("source", "lang"), length_col: str = "n_chars", label_col: str = "quality", *, labelled: int = LABELLED, pool: int = POOL, seed: int = 0) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("source", "lang"), length_col: str = "n_chars", label_col: str = "quality", *, labelled: int = LABELLED, seed: int = 0) -> DataFrame:
     """(doc_id, text_score, meta_score, score) of every document: probabilities of label 1."""
     meta = tuple(f"m{k}" for k in range(len(meta_cols)))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).cast("string").alias(m) for c, m in zip(meta_cols, meta, strict=True)], F.col(length_col).cast("long").alias("n_chars"))
@@ -227,29 +226,54 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     chosen = drawn(known.join(ids, "doc_id", "left_semi"), labelled)
-    others = drawn(ids.join(known, "doc_id", "left_anti"), pool).withColumn("y", F.lit(-1))
-    picked = {r["doc_id"]: r["y"] for r in chosen.unionByName(others).toArrow().to_pylist()}  # bounded by both samples
-    wanted = np.array(sorted(picked), np.int64)
+    picked = {r["doc_id"]: r["y"] for r in chosen.toArrow().to_pylist()}  # bounded by the sample
     kinds = [("doc_id", pa.int64()), ("text_x", pa.binary()), ("meta_x", pa.binary())]
 
     def features(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         return text_view(b["text"]), meta_view([b[m] for m in meta], b["n_chars"])
 
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            b = b.filter(pa.array(np.isin(b["doc_id"].fill_null(-1).to_numpy(), wanted)))
-            if b.num_rows:
-                t, m = features(b)
-                yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([x.tobytes() for x in t], pa.binary()), pa.array([x.tobytes() for x in m], pa.binary())], names=[n for n, _ in kinds])
-
-    got = rows.where("doc_id is not null").mapInArrow(sample, "doc_id long, text_x binary, meta_x binary").toArrow()
-    one = {i: (t, m) for i, t, m in zip(*(got[n].to_pylist() for n, _ in kinds), strict=True)}
+    def taken(ids: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Both views' features of the rows of a few doc_ids; of rows that share one, the least."""
+        wanted = np.array(sorted(ids), np.int64)
+
+        def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                b = b.filter(pa.array(np.isin(b["doc_id"].to_numpy(), wanted)))
+                if b.num_rows:
+                    t, m = features(b)
+                    yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([x.tobytes() for x in t], pa.binary()), pa.array([x.tobytes() for x in m], pa.binary())], names=[n for n, _ in kinds])
+
+        got = rows.where("doc_id is not null").mapInArrow(sample, "doc_id long, text_x binary, meta_x binary").toArrow()
+        one = {}
+        for i, *x in sorted(zip(*(got[n].to_pylist() for n, _ in kinds), strict=True), reverse=True):
+            one[i] = tuple(np.frombuffer(raw, np.float32) for raw in x)
+        return one
+
+    def most_sure(models: list[np.ndarray], given: list[dict], n_good: int, n_bad: int) -> list[dict]:
+        """One pass over all documents; those without a label that each view is most sure of."""
+
+        def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                z = [np.where(np.isin(b["doc_id"].to_numpy(), list(given[1 - v])), 0.0, logits(x, models[v])) for v, x in enumerate(features(b))]  # each document once
+                yield pa.RecordBatch.from_arrays([b["doc_id"], *map(pa.array, z)], names=["doc_id", "z0", "z1"])
+
+        z = rows.where("doc_id is not null").mapInArrow(both, "doc_id long, z0 double, z1 double").groupBy("doc_id").agg(F.min(F.struct("z0", "z1")).alias("z"))
+        z = stage(z.join(known.select("doc_id").hint("merge"), "doc_id", "left_anti").select("doc_id", "z.z0", "z.z1"), "sure")
+        sure = []
+        for v in (0, 1):
+            good = z.where(F.col(f"z{v}") > 0).orderBy(F.desc(f"z{v}"), "doc_id").limit(n_good).collect()
+            bad = z.where(F.col(f"z{v}") < 0).orderBy(f"z{v}", "doc_id").limit(n_bad).collect()
+            sure.append({r.doc_id: 1.0 for r in good} | {r.doc_id: 0.0 for r in bad})
+        unstage(z)
+        at = taken([*sure[0], *sure[1]]) if any(sure) else {}
+        return [{i: (c, at[i][1 - v]) for i, c in sure[v].items()} for v in (0, 1)]
+
+    one = taken(list(picked)) if picked else {}
     order = sorted(one, key=lambda i: (zlib.crc32(str(i).encode()), i))
     label = np.array([picked[i] for i in order], np.int64)
-    text = np.array([np.frombuffer(one[i][0], np.float32) for i in order]).reshape(len(order), TEXT_DIMS)
-    info = np.array([np.frombuffer(one[i][1], np.float32) for i in order]).reshape(len(order), META_DIMS)
-    yes = label >= 0
-    model = co_train(text[yes], info[yes], (label[yes] > 0).astype(np.float64), text[~yes], info[~yes])
+    text = np.array([one[i][0] for i in order]).reshape(len(order), TEXT_DIMS)
+    info = np.array([one[i][1] for i in order]).reshape(len(order), META_DIMS)
+    model = co_train(text, info, (label > 0).astype(np.float64), most_sure)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -53,6 +53,18 @@ def test_quality_edge_cases(spark):
     assert quality.classify(docs.limit(0), one).count() == 0
 
 
+def test_quality_labels_the_surest_of_all_documents(spark):
+    # the only documents with "zebra" are rare, and outside every sample by hashes of the id
+    far = [r.id for r in spark.range(1000, 9000).where("pmod(xxhash64(id, 0), 1 << 30) > 0.95 * (1 << 30)").limit(40).collect()]
+    rows = [(i, "fine words here" if i % 2 else "poor stuff there", "good" if i % 2 else "bad", "en", 100) for i in range(400)]
+    rows += [(i, "zebra zebra fine" if i in far else "plain text", "good" if i in far else "other", "en", 100) for i in range(1000, 9000)]
+    rows += [(9001, "zebra", "other", "en", 100), (9002, "plain", "other", "en", 100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    got = {r.doc_id: r.text_score for r in quality.classify(docs, labels).where("doc_id > 9000").collect()}
+    assert got[9001] > got[9002] + 0.1
+
+
 @pytest.mark.parametrize("vocabulary", [6, 1000])
 def test_lm_scores_against_brute_force(spark, monkeypatch, vocabulary):
     monkeypatch.setattr(xent, "PARTITION_TOKENS", 50)
