@@ -5,7 +5,7 @@ import random
 import duckdb
 import pytest
 
-from cladeflow.operators import components, network, orthogroups, scoring, search
+from cladeflow.operators import components, mcl, network, orthogroups, scoring, search
 from cladeflow.plans import catalog
 from cladeflow.sources import files, sinks
 
@@ -60,6 +60,20 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_large_even_components_stay_whole(spark):
+    # a clique whose first expanded entries all lie under the prune, as those of 2155 nodes did under 1e-5
+    n = 60
+    clique = spark.createDataFrame([(a, b, 1.0) for a in range(n) for b in range(a)], "src long, dst long, weight double")
+    got = {r.node: r.cluster for r in mcl.sparse_mcl(clique, 1.5, prune=(1 / n) ** 1.5 * 1.01).collect()}
+    assert got == dict.fromkeys(range(n), 0)
+    # joins give what dense blocks give, whatever the size of a component
+    star = spark.createDataFrame([(0, k, 0.5 + k / 100) for k in range(1, 30)] + [(k, k + 1, 1.0) for k in range(1, 29, 3)], "src long, dst long, weight double")
+    a, b = ({(r.node, r.cluster) for r in mcl.markov_clusters(star, dense=d).collect()} for d in (1500, 5))
+    assert a == b
+    with pytest.raises(RuntimeError):
+        mcl.sparse_mcl(star, 1.5, rounds=1)
+
+
 def test_duplicate_names_fail(spark, tmp_path):
     (tmp_path / "x.fa").write_text(">a d\nMK\r\n LV\n>a\nM\n")
     seqs = files.sequences(spark, str(tmp_path))
