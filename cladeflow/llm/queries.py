@@ -31,7 +31,7 @@ def op4_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sigtree.jaccard_components(table(spark, sf_dir, "documents"))
+    return sigtree.jaccard_components(table(spark, sf_dir, "documents"), all_links=True)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
