@@ -5,19 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (local tests) a temporary folder is made and
-    remembered in the session.
+    Only a local session may lack it: there a temporary folder is made and remembered in
+    the session. On a cluster, where such a folder would be seen by one machine alone,
+    the missing setting is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.conf.get("cladeflow.shared.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if not master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="cladeflow-")
         spark.conf.set("cladeflow.shared.dir", path)
     return path.rstrip("/")
@@ -37,11 +42,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def unstage(df: DataFrame) -> None:
-    """Delete a staged table that nothing reads any more."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(df.staged_at)
-    path.getFileSystem(conf).delete(path, True)
+def stage_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """The staged table and its number of rows, counted while it is written."""
+    seen = Observation()
+    return stage(df.observe(seen, F.count(F.lit(1)).alias("n")), name), seen.get["n"]
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
