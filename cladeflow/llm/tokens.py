@@ -20,7 +20,7 @@ LOWER[65:91] += 32
 BLANK = np.zeros(256, bool)
 BLANK[[32, 9, 10, 11, 12, 13]] = True
 CHUNK_BYTES = 1_000_000
-SLICE_ROWS = 1000
+SLICE_ROWS = 2500
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -62,11 +62,11 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """Batches of few rows, so that what is made of long texts stays small."""
     for b in batches:
-        for lo in range(0, b.num_rows, SLICE_ROWS):
-            yield b.slice(lo, SLICE_ROWS)
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
 
 
 def pieces(offsets: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
