@@ -20,7 +20,11 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-b", "--search_backend", choices=("external", "native"), default="external")
     p.add_argument("-e", "--evalue", type=float, default=0.0001)
     p.add_argument("-x", "--substitution_matrix", choices=MATRICES, default="BLOSUM62")
-    p.add_argument("-c", "--cpu", type=int, default=1)
+    p.add_argument("--matrix_file", help="the native search's matrix, where it is not BLOSUM62")
+    p.add_argument("-m", "--mcl", help="accepted and not needed: clustering runs on Spark")
+    p.add_argument("-c", "--cpu", type=int, help="of one search; all there are by default")
+    p.add_argument("--compat", action="store_true", help="list all groups in the file of single-copy names")
+    p.add_argument("--taxon_order", type=lambda x: tuple(x.split(",")), help="file names in order, by commas")
     p.add_argument("-s", "--single_copy_threshold", type=float, default=0.5)
     p.add_argument("-i", "--inflation_value", type=float, default=1.5)
     p.add_argument("--start", choices=("search_res",))

@@ -5,17 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladeflow.functions.staging import stage
+
 
 def singletons(genes: DataFrame, clusters: DataFrame) -> DataFrame:
     """Records in no cluster."""
     return genes.join(clusters.select(F.col("node").alias("name")).distinct(), "name", "left_anti")
 
 
+def numbered(rows: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """``rows`` with their place in an order, from 0, without a task that sees them all.
+
+    Rows are dealt in ranges and numbered inside; the sizes of the ranges before, one row
+    a range, are added.
+    """
+    ranged = stage(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return ranged.withColumn("_inside", inside).join(F.broadcast(sizes), "_range").withColumn(name, (F.col("_before") + F.col("_inside")).cast("long")).drop("_range", "_before", "_inside")
+
+
 def orthogroups(genes: DataFrame, clusters: DataFrame) -> DataFrame:
     """(og_idx, og_label, taxon, taxon_idx, rec_idx, name, length) of every record.
 
     Clusters come first, by size downwards and then smallest member; singletons follow in
-    collection and record order. Only the table of one row a group passes one window.
+    collection and record order. Groups are numbered in ranges of that order, each range by
+    the groups of the ranges before it.
     """
     alone = singletons(genes, clusters).select("name", F.col("name").alias("cluster"), F.lit(1).alias("alone"))
     member = clusters.select(F.col("node").alias("name"), "cluster", F.lit(0).alias("alone")).unionByName(alone)
@@ -23,8 +40,8 @@ def orthogroups(genes: DataFrame, clusters: DataFrame) -> DataFrame:
     first = F.min(F.struct("taxon_idx", "rec_idx"))
     groups = member.groupBy("alone", "cluster").agg(F.countDistinct("name").alias("size"), F.min("name").alias("least"), first.alias("first"))
     # singletons are ordered by their place, clusters by size and least member
-    order = Window.orderBy("alone", F.when(F.col("alone") == 0, -F.col("size")), F.when(F.col("alone") == 0, F.col("least")), "first", "least")
-    ranked = groups.withColumn("og_idx", (F.row_number().over(order) - 1).cast("long"))
+    order = ["alone", F.when(F.col("alone") == 0, -F.col("size")), F.when(F.col("alone") == 0, F.col("least")), "first", "least"]
+    ranked = numbered(groups, "og_idx", *order)
     width = ranked.agg(F.length(F.count("*").cast("string")).alias("width"))
     ranked = ranked.join(F.broadcast(width)).withColumn("og_label", F.concat(F.lit("OG"), F.lpad(F.col("og_idx").cast("string"), F.greatest(F.col("width"), F.length(F.col("og_idx").cast("string"))), F.lit("0"))))
     return member.join(ranked.select("alone", "cluster", "og_idx", "og_label"), ["alone", "cluster"]).drop("alone", "cluster")

@@ -36,6 +36,14 @@ def normalise(merged: DataFrame) -> DataFrame:
     return merged.withColumn("s", s).where("s is not null")
 
 
+def require_known(merged: DataFrame) -> DataFrame:
+    """Hits with lengths; one of a record that no collection has fails the run."""
+    bad = merged.where("len_q is null or len_t is null").head(1)
+    if bad:
+        raise ValueError(f"a hit of an unknown record: {bad[0]['query']} in {bad[0]['qt']}, {bad[0]['target']} in {bad[0]['tt']}")
+    return merged
+
+
 def best_hits(norm: DataFrame) -> DataFrame:
     """The best target of each query in each ordered pair; ties go to the earliest line."""
     best = F.max_by(F.struct("target", "s"), F.struct(F.col("s"), -F.col("line_no")))

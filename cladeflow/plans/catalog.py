@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeflow.functions.staging import stage, table
+from cladeflow.functions import paths
+from cladeflow.functions.staging import shared_dir, stage, table
 from cladeflow.operators import components, mcl, orthogroups, scoring
 from cladeflow.plans import corpus
+from cladeflow.plans.run import Config, run
 from cladeflow.sources import files, sinks
 
 # The chain of common table expressions that the SQL of the documents shares.
@@ -35,14 +39,21 @@ edge as (select least(n.query, n.target) as src, greatest(n.query, n.target) as
          where n.query <> n.target and s / corr >= thr - 1e-9 group by all)
 """
 
+#: The chain on files of a hundred documents, with their names in the files.
+FILED = CHAIN.replace("from documents)", "from (select 'd' || lpad(cast(doc_id as varchar), 12, '0') as doc_id, 'OG' || (doc_id // 100) || '.fa' as source, text from documents))")
+
 REACH = CHAIN.replace("\nwith ws", "\nwith recursive ws", 1) + """,
 ends as (select src as a, dst as b from edge union all select dst, src from edge),
 reach as (select a as node, a as seen from ends union select r.node, b.b from reach r join ends b on b.a = r.seen)
 """
 
 
+def _rounded_to(df: DataFrame, digits: int, *names: str) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if c in names else c for c in df.columns])
+
+
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
-    return df.select(*[F.round(c, 6).alias(c) if c in names else c for c in df.columns])
+    return _rounded_to(df, 6, *names)
 
 
 def _part_hits(spark: SparkSession, d: str) -> DataFrame:
@@ -129,24 +140,17 @@ def edge_list_tsv(spark: SparkSession, d: str) -> DataFrame:
 
 
 def connected(spark: SparkSession, d: str) -> DataFrame:
-    return components.connected_components(stage(corpus.edges(spark, d), "edges"))
+    return components.connected_components(corpus.edges(spark, d))
 
 
 def mcl_converged(spark: SparkSession, d: str) -> DataFrame:
-    return mcl.markov_clusters(stage(corpus.edges(spark, d), "edges"))
+    return corpus.clusters(spark, d)
 
 
 def mcl_round(spark: SparkSession, d: str) -> DataFrame:
     """The matrix after loops, normalisation and one expansion and inflation."""
-    e = stage(corpus.edges(spark, d), "edges")
-    both = e.select(F.col("src").alias("i"), F.col("dst").alias("j"), F.col("weight").alias("v"))
-    both = both.unionByName(both.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"))
-    m = both.unionByName(both.groupBy("j").agg(F.max("v").alias("v")).select(F.col("j").alias("i"), "j", "v"))
-    m = m.join(m.groupBy("j").agg(F.sum("v").alias("t")), "j").select("i", "j", (F.col("v") / F.col("t")).alias("v"))
-    x = m.select("i", F.col("j").alias("k"), F.col("v").alias("a")).join(m.select(F.col("i").alias("k"), "j", F.col("v").alias("b")), "k")
-    x = x.groupBy("i", "j").agg(F.pow(F.sum(F.col("a") * F.col("b")), F.lit(1.5)).alias("v"))
-    x = x.join(x.groupBy("j").agg(F.sum("v").alias("t")), "j")
-    return x.select("i", "j", F.round(F.col("v") / F.col("t"), 5).alias("v"))
+    m = mcl.expanded(mcl.transition(corpus.edges(spark, d)), 1.5, prune=0.0)
+    return _rounded_to(m, 5, "v").select("i", "j", "v")
 
 
 def singletons(spark: SparkSession, d: str) -> DataFrame:
@@ -201,19 +205,105 @@ def og_names_compat(spark: SparkSession, d: str) -> DataFrame:
 
 
 def run_stats(spark: SparkSession, d: str) -> DataFrame:
-    e = stage(corpus.edges(spark, d), "edges")
+    e = corpus.edges(spark, d)
     clusters = components.connected_components(e).withColumnRenamed("component", "cluster")
     g = stage(orthogroups.orthogroups(corpus.genes(spark, d), clusters), "groups")
     return orthogroups.run_statistics(corpus.genes(spark, d), e, g, orthogroups.single_copy(g, 20, 0.05))
 
 
+# ---------------------------------------------------------------- whole runs on files
+
+
+def _record(c: Column) -> Column:
+    return F.concat(F.lit("d"), F.lpad(c.cast("string"), 12, "0"))
+
+
+def _as_file(c: Column, names: int = 100) -> Column:
+    """The collection of a document in the queries on files: blocks of ``names`` doc_ids, so that no file grows with the table."""
+    return F.concat(F.lit("OG"), F.floor(c / names).cast("string"), F.lit(".fa"))
+
+
+def written(spark: SparkSession, d: str, seq: Column | None = None) -> str:
+    """A new folder of sequence files with a record a document: its letters, or ``seq`` of its length."""
+    folder = f"{shared_dir(spark)}/cladeflow/files-{uuid.uuid4().hex}"
+    if seq is None:
+        rows = table(spark, d, "documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "").alias("seq"))
+    else:
+        rows = corpus.genes(spark, d).select(F.col("name").alias("doc_id"), seq.alias("seq"))
+    rows = rows.select(F.floor(F.col("doc_id") / 100).alias("og_idx"), F.lit("x").alias("taxon"), _record(F.col("doc_id")).alias("name"), F.lit(0).alias("taxon_idx"), F.col("doc_id").alias("rec_idx"), "seq")
+    sinks.write_group_files(orthogroups.fasta_payload(rows.drop("seq"), rows), folder)
+    return folder
+
+
+def fasta_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Documents' letters, written as sequence files and read back."""
+    return files.sequences(spark, written(spark, d)).select("taxon", "rec_idx", "name", F.col("length").cast("long").alias("length"), F.md5("seq").alias("digest"))
+
+
+def _tables(spark: SparkSession, d: str, folder: str) -> DataFrame:
+    """Writes the hits of the documents as search tables, one for each two files that have some; the hits."""
+    hit = corpus.hits(spark, d).where(F.col("score") >= corpus.MIN_SCORE)
+    hit = hit.select(_as_file(F.col("query")).alias("qt"), _as_file(F.col("target")).alias("tt"), _record(F.col("query")).alias("query"), _record(F.col("target")).alias("target"), "score")
+    line = F.concat_ws(" ", "target", F.lit("-"), "query", F.lit("-"), F.lit("1e-30"), F.col("score").cast("string"), F.lit("0.0 1e-30 1 0.0 1.0 1 0 0 1 1 1 1 a description"))
+    lines = hit.groupBy("qt", "tt").agg(F.sort_array(F.collect_list(F.struct("target", "query", line.alias("t")))).alias("x"))
+    text = F.concat(F.lit("# target query\n"), F.array_join(F.transform("x", lambda r: r["t"]), "\n"), F.lit("\n\n# [ok]\n"))
+
+    def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for name, content in zip(p["name"], p["text"], strict=True):
+                paths.write_whole(folder, name, content)
+            yield pd.DataFrame({"n": [len(p)]})
+
+    lines.select(F.concat("qt", F.lit("_2_"), "tt", F.lit(".phmmerout.txt")).alias("name"), text.alias("text")).mapInPandas(write, "n long").agg(F.sum("n")).first()
+    return hit
+
+
+def search_table_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Hits of the documents, written as search tables and read back."""
+    folder = f"{shared_dir(spark)}/cladeflow/tables-{uuid.uuid4().hex}"
+    _tables(spark, d, folder)
+    listed = table(spark, d, "documents").select(_as_file(F.col("doc_id")).alias("taxon")).distinct().withColumn("taxon_idx", F.lit(0))
+    return files.search_tables(spark, folder, listed).select("qt", "tt", "query", "target", "score", "line_no")
+
+
+def resumed_run(spark: SparkSession, d: str) -> DataFrame:
+    """A whole run from sequence files and finished search tables: the lines of its groups, as it wrote them.
+
+    A record's sequence has as many residues as the document has shingles.
+    """
+    folder = written(spark, d, F.repeat(F.lit("M"), F.col("length")))
+    _tables(spark, d, f"{folder}/working")
+    run(spark, Config(folder, start="search_res"))
+    return spark.read.text(f"{folder}/orthogroups")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (scan_genes, dup_id_check, taxon_pairs, search_plan, kmer_occurrences, candidate_hits, filter_evalue, merge_lengths, norm_score, best_hit, best_hit_parts, reciprocal_best_hits, pair_correction, gene_threshold, edges, edge_list_tsv, mcl_converged, mcl_round, singletons, component_groups, orthogroup_lines, gene_count_long, gene_count_matrix, single_copy, single_copy_headers, fasta_wrap70, og_names_compat, run_stats)
+    own = (scan_genes, dup_id_check, taxon_pairs, search_plan, kmer_occurrences, candidate_hits, filter_evalue, merge_lengths, norm_score, best_hit, best_hit_parts, reciprocal_best_hits, pair_correction, gene_threshold, edges, edge_list_tsv, mcl_converged, mcl_round, singletons, component_groups, orthogroup_lines, gene_count_long, gene_count_matrix, single_copy, single_copy_headers, fasta_wrap70, og_names_compat, run_stats, fasta_scan, search_table_scan, resumed_run)
     return {f.__name__: f for f in own} | {"connected_components": connected}
 
 
+ROUNDS = 60
+
+
+def _markov(chain: str) -> str:
+    """``chain`` with Markov clusters: ``comp`` (node, cluster) after ROUNDS rounds of the whole matrix."""
+    step = ["""b0 as materialized (select src as i, dst as j, weight as v from edge union all select dst, src, weight from edge),
+m0 as materialized (select i, j, v / sum(v) over (partition by j) as v from (select i, j, v from b0 union all select j, j, max(v) from b0 group by j))"""]
+    for k in range(ROUNDS):
+        step.append(f"""p{k} as materialized (select a.i, b.j, pow(sum(a.v * b.v), 1.5) as v from m{k} a join m{k} b on a.j = b.i group by a.i, b.j),
+m{k + 1} as materialized (select i, j, v / sum(v) over (partition by j) as v from (select *, max(v) over (partition by j) as top from p{k}) where v >= 1e-8 or v >= top)""")
+    step.append(f"""strong as (select i, j, v from m{ROUNDS} where v > 1e-3),
+sys as (select s.j as i, min(s.i) as system from strong s where s.j in (select i from strong) group by s.j),
+mass as (select j as node, system, sum(v) as v from strong join sys on sys.i = strong.i group by all),
+chosen as (select node, system from (select *, row_number() over (partition by node order by round(v, 9) desc, system) as k from mass) where k = 1),
+comp as (select node, min(node) over (partition by system) as cluster from chosen)""")
+    return chain + ", " + ",\n".join(step)
+
+
 GROUPED = REACH + """,
-comp as (select node, min(seen) as cluster from reach group by node),
+comp as (select node, min(seen) as cluster from reach group by node),"""
+
+NUMBERED = """
 member as (select g.name, g.taxon, coalesce(c.cluster, g.name) as cluster, c.node is null as alone,
            cast(regexp_extract(g.taxon, '(\\d+)', 1) as int) as ti from gene g left join comp c on c.node = g.name),
 grp as (select alone, cluster, count(*) as size, min(ti) as ti from member group by all),
@@ -223,6 +313,8 @@ og as (select r.og_idx, m.name, m.taxon from member m join ranked r on r.alone =
 label as (select og_idx, 'OG' || lpad(cast(og_idx as varchar), cast(greatest(length(cast(og_idx as varchar)), (select length(cast(count(*) as varchar)) from ranked)) as int), '0') as og_label from ranked)
 """
 
+GROUPED += NUMBERED
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -250,6 +342,12 @@ m0 as (select i, j, v from b0 union all select j, j, max(v) from b0 group by j),
 m1 as (select i, j, v / sum(v) over (partition by j) as v from m0),
 m2 as (select a.i, b.j, pow(sum(a.v * b.v), 1.5) as v from m1 a join m1 b on a.j = b.i group by a.i, b.j)
 select i, j, round(v / sum(v) over (partition by j), 5) as v from m2""",
+        "mcl_converged": _markov(CHAIN) + " select node, cluster from comp",
+        "orthogroup_lines": _markov(CHAIN) + "," + NUMBERED + "select og.og_idx, og_label || ': ' || string_agg(cast(name as varchar), ' ' order by name) as value from og join label on label.og_idx = og.og_idx group by og.og_idx, og_label",
+        "fasta_scan": "select 'OG' || (doc_id // 100) || '.fa' as taxon, cast(row_number() over (partition by doc_id // 100 order by doc_id) - 1 as bigint) as rec_idx, 'd' || lpad(cast(doc_id as varchar), 12, '0') as name, length(s) as length, md5(s) as digest from (select doc_id, regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g') as s from documents)",
+        "search_table_scan": CHAIN + """select 'OG' || (query // 100) || '.fa' as qt, 'OG' || (target // 100) || '.fa' as tt, 'd' || lpad(cast(query as varchar), 12, '0') as query, 'd' || lpad(cast(target as varchar), 12, '0') as target, cast(score as double) as score,
+cast(row_number() over (partition by query // 100, target // 100 order by target, query) - 1 as bigint) as line_no from hit where score >= 10""",
+        "resumed_run": _markov(FILED) + "," + NUMBERED.replace("cast(regexp_extract(g.taxon, '(\\d+)', 1) as int)", "g.taxon").replace("then ti else 0", "then ti else ''") + "select og_label || ': ' || string_agg(name, ' ' order by name) as value from og join label on label.og_idx = og.og_idx group by og.og_idx, og_label",
         "edge_list_tsv": CHAIN + "select cast(src as varchar) || chr(9) || cast(dst as varchar) || chr(9) || printf('%.6f', weight) as value from edge",
         "fasta_wrap70": "select doc_id, rtrim(regexp_replace(regexp_replace(text, '[^!-~]', '', 'g'), '(.{70})', '\\1' || chr(10), 'g'), chr(10)) as fasta from documents",
         "singletons": CHAIN + "select name, taxon from gene where name not in (select src from edge union all select dst from edge)",

@@ -2,18 +2,34 @@
 
 documents: a record is a doc_id, its collection is its source, its length the number of
 5-word shingles, and a hit's score the number of the query's shingle occurrences that the
-target shares, over shingles of 2 to 50 documents. Hits of score 10 or more are kept.
+target shares, over shingles of 2 to ``most`` documents. Hits of score 10 or more are kept.
+
+The tables that many queries begin with are staged once a session, as a run does, for the
+files they are made of; changed files make a new table.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeflow.functions.staging import table
+from cladeflow.functions import paths
+from cladeflow.functions.staging import stage, table
 from cladeflow.operators import mcl, network, orthogroups, scoring
 
 MIN_SCORE = 10
+MOST = 50  # documents of a shingle that makes hits; None for no limit
+_staged: dict[tuple, DataFrame] = {}
+
+
+def staged(spark: SparkSession, d: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    files = (paths.listed(spark, f"{d}/documents.parquet"), paths.listed(spark, f"{d}/documents.parquet/*"))
+    key = (spark.sparkContext.applicationId, name, repr(files))
+    if key not in _staged:
+        _staged[key] = stage(build(), name)
+    return _staged[key]
 
 
 def _words(spark: SparkSession, d: str) -> DataFrame:
@@ -32,13 +48,18 @@ def genes(spark: SparkSession, d: str) -> DataFrame:
     return _words(spark, d).select(F.col("source").alias("taxon"), F.col("doc_id").alias("name"), (F.size("w") - 4).alias("length"), F.regexp_extract("source", r"(\d+)", 1).cast("int").alias("taxon_idx"), F.col("doc_id").alias("rec_idx"))
 
 
-def hits(spark: SparkSession, d: str) -> DataFrame:
+def _hits(spark: SparkSession, d: str, most: int | None) -> DataFrame:
     occ = occurrences(spark, d)
-    rare = occ.groupBy("g").agg(F.count("*").alias("df")).where(F.col("df").between(2, 50)).select("g")
-    occ = occ.join(rare, "g")
+    df = F.col("df") > 1
+    rare = occ.groupBy("g").agg(F.count("*").alias("df")).where(df if most is None else df & (F.col("df") <= most)).select("g")
+    occ = stage(occ.join(rare.hint("merge"), "g"), "shared")
     a = occ.select("g", F.col("source").alias("qt"), F.col("doc_id").alias("query"), "n")
     b = occ.select("g", F.col("source").alias("tt"), F.col("doc_id").alias("target"))
-    return a.join(b, "g").groupBy("qt", "tt", "query", "target").agg(F.sum("n").alias("score")).withColumn("line_no", F.col("target"))
+    return a.join(b.hint("merge"), "g").groupBy("qt", "tt", "query", "target").agg(F.sum("n").alias("score")).withColumn("line_no", F.col("target"))
+
+
+def hits(spark: SparkSession, d: str, most: int | None = MOST) -> DataFrame:
+    return staged(spark, d, f"hits_{most}", lambda: _hits(spark, d, most))
 
 
 def merged(spark: SparkSession, d: str) -> DataFrame:
@@ -46,15 +67,16 @@ def merged(spark: SparkSession, d: str) -> DataFrame:
 
 
 def norm_hits(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.normalise(merged(spark, d).where(F.col("score") >= MIN_SCORE))
+    return staged(spark, d, "norm_hits", lambda: scoring.normalise(merged(spark, d).where(F.col("score") >= MIN_SCORE)))
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    return network.from_hits(norm_hits(spark, d))
+    return staged(spark, d, "edges", lambda: network.from_hits(norm_hits(spark, d)))
 
 
-def groups(spark: SparkSession, d: str) -> DataFrame:
-    from cladeflow.functions.staging import stage
+def clusters(spark: SparkSession, d: str) -> DataFrame:
+    return staged(spark, d, "clusters", lambda: mcl.markov_clusters(edges(spark, d)))
 
-    clusters = mcl.markov_clusters(stage(edges(spark, d), "edges"))
-    return orthogroups.orthogroups(genes(spark, d), clusters)
+
+def groups(spark: SparkSession, d: str) -> DataFrame:
+    return orthogroups.orthogroups(genes(spark, d), clusters(spark, d))

@@ -13,11 +13,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def best_scores(hits: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """A stream of (qt, tt, query, target, s) as the running maximum of each pair of records."""
+def best_scores(hits: DataFrame, delay: str = "1 hour", width: str = "1 hour") -> DataFrame:
+    """A stream of (qt, tt, query, target, s) as the running maximum of each pair of records.
+
+    Hits with a time ``ts`` give a maximum for each pair and ``window`` of time, whose state
+    ends when the watermark passes it; maxima of windows merge in any order. Without ``ts``
+    each pair's state is kept.
+    """
+    keys = ["qt", "tt", "query", "target"]
     if "ts" in hits.columns:
         hits = hits.withWatermark("ts", delay)
-    return hits.groupBy("qt", "tt", "query", "target").agg(F.max("s").alias("s"))
+        keys.append(F.window("ts", width))
+    return hits.groupBy(*keys).agg(F.max("s").alias("s"))
 
 
 def on_batches(stream: DataFrame, fold: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:

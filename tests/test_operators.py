@@ -3,6 +3,7 @@
 import random
 
 import duckdb
+import numpy as np
 import pytest
 
 from cladeflow.operators import components, mcl, network, orthogroups, scoring, search
@@ -97,13 +98,79 @@ def test_occupancy_is_strict_and_wrapping(spark):
     assert text == "x" * 70 + "\n" + "x" * 70
 
 
-def test_alignment_and_native_search(spark):
+def aligned(a, b, m):
+    """The textbook recurrences of local alignment, cell by cell."""
+    rows, cols, low = len(a) + 1, len(b) + 1, float("-inf")
+    h, e, f = ([[v] * cols for _ in range(rows)] for v in (0.0, low, low))
+    best = 0.0
+    for i in range(1, rows):
+        for j in range(1, cols):
+            e[i][j] = max(h[i][j - 1] - search.GAP_OPEN, e[i][j - 1]) - search.GAP_EXTEND
+            f[i][j] = max(h[i - 1][j] - search.GAP_OPEN, f[i - 1][j]) - search.GAP_EXTEND
+            h[i][j] = max(0, h[i - 1][j - 1] + m[ord(a[i - 1]), ord(b[j - 1])], e[i][j], f[i][j])
+            best = max(best, h[i][j])
+    return best
+
+
+def test_alignment_against_brute_force():
     m = search.blosum62()
-    assert (m == m.T).all() and search.local_score("HEAGAWGHEE", "PAWHEAE", m) == 20 + 3
+    assert (m == m.T).all() and m[ord("w"), ord("W")] == 11 and m[ord("B"), ord("D")] == 4 and m[ord("*"), ord("A")] == -4 and m[ord("J"), ord("A")] == 0
+    rng = random.Random(3)
+    for _ in range(60):
+        core = "".join(rng.choices("ACDEFGHIKLMNPQRSTVWYBZX*", k=rng.randrange(0, 40)))
+        a, b = list(core), list(core)
+        for s in (a, b):
+            for _ in range(rng.randrange(4)):
+                at = rng.randrange(len(s) + 1)
+                s[at : at + rng.randrange(3)] = rng.choices("ACDEFGHIKLMNPQRSTVWY", k=rng.randrange(5))
+        a, b = "".join(a), "".join(b)
+        assert search.local_score(a, b, m) == aligned(a, b, m)
+    assert search.local_score("HEAGAWGHEE", "PAWHEAE", m) == aligned("HEAGAWGHEE", "PAWHEAE", m) == 17
+
+
+def test_matrix_files():
+    m = search.matrix_of("# two residues\n   A  R\nA  2 -1\nR -1  3\n")
+    assert m[65, 65] == 2 and m[65, ord("r")] == -1 and m[ord("W"), 65] == -1
+    with pytest.raises(ValueError):
+        search.matrix_of("A R\nA 1\n")
+
+
+def test_native_search(spark):
     seq = "MKTAYIAKQRQISFVKSHFSRQLEERLGLIEVQAPILSRVGDGTQDNLSGAEKAVQVKVKALPDAQFEVV"
-    rows = spark.createDataFrame([("A", "a", len(seq), seq), ("B", "b", len(seq) - 5, seq[5:]), ("B", "c", 12, "GGGGGGGGGGGG")], "taxon string, name string, length int, seq string")
-    got = {(r.query, r.target): r.score for r in search.native(rows).collect()}
-    assert ("a", "b") in got and ("a", "c") not in got and got["a", "b"] == pytest.approx(got["b", "a"])
+    rows = [("A", "a", seq), ("B", "b", seq[5:]), ("B", "c", "GGGGGGGGGGGG"), ("C", "d", seq)] + [("D", f"g{k}", seq[:20] + seq[k % 40 : k % 40 + 30]) for k in range(60)]
+    table = spark.createDataFrame([(t, n, len(s), s) for t, n, s in rows], "taxon string, name string, length int, seq string")
+    for kw in ({}, {"common": 1, "seeds": 8}):  # common seeds drop no record's hits
+        got = {(r.query, r.target): (r.score, r.evalue) for r in search.native(table, **kw).collect()}
+        assert ("a", "b") in got and ("a", "c") not in got and got["a", "b"][0] == pytest.approx(got["b", "a"][0])
+        assert got["a", "a"][0] == got["d", "a"][0] == got["a", "d"][0] and {q for q, _ in got} == {n for _, n, _ in rows}
+    bits = (search.LAMBDA * aligned(seq, seq[5:], search.blosum62()) - np.log(search.KAPPA)) / np.log(2)
+    assert got["a", "b"] == pytest.approx((bits, len(seq) * (len(seq) - 5 + 12) * 2.0**-bits))
+
+
+def test_numbering(spark):
+    rows = [(k % 7, k) for k in range(500)] + [(None, 1000)]
+    got = orthogroups.numbered(spark.createDataFrame(rows, "a int, b int").repartition(5), "at", "a", "b").collect()
+    assert [(r.a, r.b) for r in sorted(got, key=lambda r: r.at)] == sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])) and sorted(r.at for r in got) == list(range(501))
+
+
+def test_matrix_steps(spark):
+    edges = spark.createDataFrame([(1, 2, 1.0), (2, 3, 0.5)], "src long, dst long, weight double")
+    m = np.zeros((4, 4))
+    for a, b, w in ((1, 2, 1.0), (2, 3, 0.5), (1, 1, 1.0), (2, 2, 1.0), (3, 3, 0.5)):
+        m[a, b] = m[b, a] = w
+    m[:, 1:] /= m[:, 1:].sum(axis=0)
+    first = {(r.i, r.j): r.v for r in mcl.transition(edges).collect()}
+    assert first == pytest.approx({(i, j): m[i, j] for i in range(4) for j in range(4) if m[i, j]})
+    x = (m @ m) ** 1.5
+    x[:, 1:] /= x[:, 1:].sum(axis=0)
+    got = {(r.i, r.j): r.v for r in mcl.expanded(mcl.transition(edges), 1.5).collect()}
+    assert got == pytest.approx({(i, j): x[i, j] for i in range(4) for j in range(4) if x[i, j]})
+
+
+def test_components_of_names(spark):
+    edges = [("b", "a"), ("c", "b"), ("x", "y"), ("q", "q")] + [("hub", f"n{k}") for k in range(50)]
+    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "src string, dst string")).collect()}
+    assert got == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x", "q": "q", "hub": "hub"} | {f"n{k}": "hub" for k in range(50)}
 
 
 def test_count_header(spark):
@@ -111,7 +178,7 @@ def test_count_header(spark):
     assert [r.value for r in sinks.count_lines(m, ["A", "B"]).orderBy("og_idx").collect()] == ["files: A B", "OG0: 1 0"]
 
 
-@pytest.mark.parametrize("name", ["edges", "gene_threshold", "component_groups", "run_stats", "fasta_wrap70", "best_hit_parts"])
+@pytest.mark.parametrize("name", ["edges", "gene_threshold", "component_groups", "run_stats", "fasta_wrap70", "best_hit_parts", "mcl_round", "mcl_converged", "orthogroup_lines", "fasta_scan", "search_table_scan", "resumed_run"])
 def test_queries_match_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "lineitem", "part", "nation"):
