@@ -12,17 +12,23 @@ A document's score is the mean over its tokens (words and the end mark) of the t
 loss less the background's: the lower, the more like the target.
 
 Counts cover every document and grow with the corpus: neither words nor bigrams are cut
-off. Words are 64-bit hashes. Each document's bigrams are sent once, packed and counted, to
-the partition of their second word, so that the same task counts words and bigrams over the
-corpus and scores all documents that hold them. The losses of a document hold log(c(h) + MU)
-once for its start and each of its words, which are its tokens again (as many starts as end
-marks), so that a token's own partition adds it and no unigram count is needed elsewhere.
-Bigrams of a word that would fill a partition are dealt by both words; only the counts of
-such words (at most 20 for each ``PARTITION_TOKENS``), the unknown word and the end mark go
-to every task. The sums go back to the batch of documents they came from.
+off. Words are 64-bit hashes. A batch of documents sends each of its bigrams once to the
+partition of the second word, with the documents that hold it and how often, so that the
+same task counts words and bigrams over the corpus and scores all documents that hold
+them; a frequent bigram costs two or three bytes a document. The losses of a document hold
+log(c(h) + MU) once for its start and each of its words, which are its tokens again (as
+many starts as end marks), so that a token's own partition adds it and no unigram count is
+needed elsewhere. Bigrams of a word that would fill a partition are dealt by both words;
+only the counts of such words (at most 20 for each ``PARTITION_TOKENS``), the unknown word
+and the end mark go to every task. The sums go back to the batch of documents they came
+from, two numbers a document and partition. First words are told apart by 32 bits of their
+hash, among those before one second word.
 
 Defined results: a null, empty or blank text has no tokens and a null score; rows with one
-doc_id are scored as one document; without target documents the target model is uniform.
+doc_id are scored as one document, each text with its own start and end; so are the rows
+with a null doc_id, which are never target documents; without target documents the target
+model is uniform; without rows there is no result. Columns other than the two named play no
+part, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,12 +43,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeflow.functions.staging import stage, unstage
+from cladeflow.functions.staging import stage, stage_counted, unstage
 from cladeflow.llm.tokens import mix, words
 
 MU = 100.0
 BATCH_ROWS = 2_500  # places in a batch must fit 16 bits
-PARTITION_TOKENS = 1_000_000  # about the tokens of one part, whatever the input
+PARTITION_TOKENS = 3_000_000  # about the tokens of one part, whatever the input
+BROADCAST_IDS = 2_000_000  # target documents of whose ids a copy goes to every task; beyond, texts are joined by merge
 END, UNKNOWN = np.uint64(0), np.uint64(1)  # as words; END as a history is the start
 
 
@@ -124,19 +131,32 @@ def unigrams(rows: DataFrame, vocabulary: int | None) -> Unigrams:
     return Unigrams(distinct + 2, (target, n), word[order], both[:, order], known)
 
 
-def pack_bigrams(rows: DataFrame, table: Unigrams, parts: int) -> DataFrame:
-    """Distinct bigrams of the documents of a batch with their counts, a row for each part.
+FIELDS = ("own", "target", "words", "pairs", "histories", "holders", "docs", "count", "large")
+
+
+def cuts(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
 
-    A row holds the batch's name, the rows of the batch that it has (``own``) with their
-    target flags and, for each bigram and document, the second word, the first word, the
-    document's place in ``own`` and the count, each as a packed column; counts from 255 on
-    are in ``large``. The batch's first row also has the doc_ids of the whole batch.
+
+def pack_bigrams(rows: DataFrame, table: Unigrams, parts: int) -> DataFrame:
+    """Distinct bigrams of a batch of documents with their holders, a row for each part.
+
+    A row holds the batch's name, the places in the batch of the documents that it has
+    (``own``) with their target flags; the second words, for each the number of its first
+    words (``pairs``); of each pair the 32 bits of the first word and the number of its
+    holders; and of each holder its place in ``own`` and its count (those from 255 on are
+    in ``large``). The batch's first row also has the doc_ids, which of them are null, and
+    the tokens of the whole batch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x.slice(lo, BATCH_ROWS) for x in batches for lo in range(0, x.num_rows, BATCH_ROWS)):
-            ids, chosen = b["doc_id"].to_numpy(zero_copy_only=False), b["target"].to_numpy(zero_copy_only=False)
-            firsts, seconds, docs = [], [], []
+            ids, chosen = b["doc_id"].fill_null(0).to_numpy(), b["target"].to_numpy(zero_copy_only=False)
+            null = b["doc_id"].is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
+            firsts, seconds, docs, tokens = [], [], [], np.zeros(len(ids), np.int32)
             for some in words(b["text"]):
                 n = np.diff(some.bounds)
                 full = np.flatnonzero(n)
@@ -145,6 +165,7 @@ def pack_bigrams(rows: DataFrame, table: Unigrams, parts: int) -> DataFrame:
                 # each document as start, words, end: histories and words side by side
                 x = table.encoded(some.hashes)
                 size = n[full] + 1
+                tokens[full + some.lo] = size
                 first = np.cumsum(size) - size
                 prior, following = np.full(size.sum(), END), np.full(size.sum(), END)
                 inner = np.ones(size.sum(), bool)
@@ -162,83 +183,86 @@ def pack_bigrams(rows: DataFrame, table: Unigrams, parts: int) -> DataFrame:
             key = mix(w)
             key = np.where(found(w, table.dealt)[0], mix(key ^ h), key)
             part = (key % np.uint64(parts)).astype(np.int32)
+            h = (mix(h ^ np.uint64(0x3C79AC492BA7B653)) >> np.uint64(32)).astype(np.uint32)
             order = np.lexsort((doc, h, w, part))
             h, w, doc, part = h[order], w[order], doc[order], part[order]
-            new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (w[1:] != w[:-1]) | (doc[1:] != doc[:-1]) | (part[1:] != part[:-1]))))
+            new = cuts(part, w, h, doc)
             count = np.diff(np.append(new, len(h))).astype(np.int32)
             h, w, doc, part = h[new], w[new], doc[new], part[new]
-            cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
-            name = int.from_bytes(hashlib.blake2b(ids.astype(np.int64).tobytes(), digest_size=8).digest(), "little", signed=True)
-            out = []
-            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            name = int.from_bytes(hashlib.blake2b(ids.tobytes() + null.tobytes(), digest_size=8).digest(), "little", signed=True)
+            out, edge = [], np.append(cuts(part), len(part))
+            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 own, at = np.unique(doc[lo:hi], return_inverse=True)
-                n = count[lo:hi]
-                pairs = (w[lo:hi].tobytes(), h[lo:hi].tobytes(), at.astype(np.uint16).tobytes(), np.minimum(n, 255).astype(np.uint8).tobytes(), n[n >= 255].tobytes())
-                out.append((int(part[lo]), name, b"" if out else ids.astype(np.int64).tobytes(), own.tobytes(), chosen[own].astype(np.uint8).tobytes(), *pairs))
-            kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 8)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["part", "batch", "ids", "own", "target", "word", "history", "doc", "count", "large"])
+                n, ww, hh = count[lo:hi], w[lo:hi], h[lo:hi]
+                pair = cuts(ww, hh)
+                word = cuts(ww[pair])
+                sizes = (np.diff(np.append(word, len(pair))).astype(np.uint32), np.diff(np.append(pair, hi - lo)).astype(np.uint16))
+                packed = (own, chosen[own].astype(np.uint8), ww[pair][word], sizes[0], hh[pair], sizes[1], at.astype(np.uint16), np.minimum(n, 255).astype(np.uint8), n[n >= 255])
+                head = (b"", b"", b"") if out else (ids.tobytes(), null.tobytes(), tokens.tobytes())
+                out.append((int(part[lo]), name, *head, *[x.tobytes() for x in packed]))
+            kinds = (pa.int32(), pa.int64(), *[pa.binary()] * (3 + len(FIELDS)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["part", "batch", "ids", "null", "tokens", *FIELDS])
 
-    return rows.mapInArrow(run, "part int, batch long, ids binary, own binary, target binary, word binary, history binary, doc binary, count binary, large binary")
+    return rows.mapInArrow(run, "part int, batch long, " + ", ".join(f"{c} binary" for c in ("ids", "null", "tokens", *FIELDS)))
 
 
 def _score(table: Unigrams):
     """Counts the words and bigrams of one part over the corpus and scores what each batch has of them."""
 
     def run(t: pa.Table) -> pa.Table:
-        rows = t.to_pylist()
-        word, history, count, weight, spans, at = [], [], [], [], [], 0
-        for r in rows:
-            word.append(np.frombuffer(r["word"], np.uint64))
-            history.append(np.frombuffer(r["history"], np.uint64))
-            n = np.frombuffer(r["count"], np.uint8).astype(np.int64)
-            n[n == 255] = np.frombuffer(r["large"], np.int32)
-            count.append(n)
-            weight.append(np.frombuffer(r["target"], np.uint8)[np.frombuffer(r["doc"], np.uint16)] * n)
-            spans.append((at, at + len(n)))
-            at += len(n)
-        w, h = np.concatenate(word), np.concatenate(history)
+        kinds = dict(zip(FIELDS, (np.uint16, np.uint8, np.uint64, np.uint32, np.uint32, np.uint16, np.uint16, np.uint8, np.int32), strict=True))
+        blobs = [{c: np.frombuffer(t[c][x].as_py(), kind) for c, kind in kinds.items()} for x in range(t.num_rows)]
+        word, history, counts, spans, at = [], [], [], [], 0
+        for r in blobs:
+            n = r["count"].astype(np.int32)
+            n[n == 255] = r["large"]
+            r["n"] = n
+            first = np.cumsum(r["holders"], dtype=np.int64) - r["holders"]
+            word.append(np.repeat(r["words"], r["pairs"]))
+            history.append(r["histories"])
+            counts.append(np.stack([np.add.reduceat(x, first) for x in (r["target"][r["docs"]] * n, n)]))
+            spans.append((at, at + len(first)))
+            at += len(first)
+        w, h, n = np.concatenate(word), np.concatenate(history), np.concatenate(counts, axis=1)
         order = np.lexsort((h, w))
         w, h = w[order], h[order]
-        next_word = np.concatenate(([True], w[1:] != w[:-1]))
-        new = next_word.copy()
-        new[1:] |= h[1:] != h[:-1]
+        pair, of = cuts(w, h), cuts(w)
         back = np.empty(len(w), np.int64)
-        back[order] = np.cumsum(new) - 1
-        of = (np.cumsum(next_word) - 1)[new]  # the word of each bigram
-        dealt, place = found(w[next_word], table.dealt)
+        back[order] = np.repeat(np.arange(len(pair)), np.diff(np.append(pair, len(w))))
+        dealt, place = found(w[of], table.dealt)
+        of = np.searchsorted(of, pair, "right") - 1  # the word of each bigram
         loss = []
-        for k, x in enumerate((np.concatenate(weight), np.concatenate(count))):
-            c = np.bincount(back, x, len(of))
-            u = np.where(dealt, table.counts[k][place], np.bincount(of, c))
-            loss.append(np.log(u + MU)[of] - np.log(c + (MU * (u + 1) / (table.totals[k] + table.size))[of]))
-        out: dict[str, list] = {"batch": [], "ids": [], "own": [], "target": [], "background": [], "n": []}
-        for r, (lo, hi), n in zip(rows, spans, count, strict=True):
-            doc = np.frombuffer(r["doc"], np.uint16)
-            size = len(r["own"]) // 2
+        for k in (0, 1):
+            c = np.bincount(back, n[k], len(pair))
+            u = np.where(dealt, table.counts[k][place], np.bincount(of, c, len(dealt)))
+            loss.append((np.log(u + MU)[of] - np.log(c + (MU * (u + 1) / (table.totals[k] + table.size))[of]))[back])
+        out: dict[str, list] = {c: t[c].to_pylist() for c in ("batch", "ids", "null", "tokens", "own")} | {"target": [], "background": []}
+        for r, (lo, hi) in zip(blobs, spans, strict=True):
             for name, x in zip(("target", "background"), loss, strict=True):
-                out[name].append(np.bincount(doc, x[back[lo:hi]] * n, size).tobytes())
-            out["n"].append(np.bincount(doc, n, size).astype(np.int32).tobytes())
-            for name in ("batch", "ids", "own"):
-                out[name].append(r[name])
+                sums = np.bincount(r["docs"], np.repeat(x[lo:hi], r["holders"]) * r["n"], len(r["own"]))
+                out[name].append(sums.tobytes())
         return pa.table({k: pa.array(v, pa.int64() if k == "batch" else pa.binary()) for k, v in out.items()})
 
     return run
 
 
-PARTIAL = "batch long, ids binary, own binary, target binary, background binary, n binary"
+PARTIAL = "batch long, ids binary, null binary, tokens binary, own binary, target binary, background binary"
 
 
 def _gathered(t: pa.Table) -> pa.Table:
     """One batch's documents with the sums of all parts."""
     rows = t.to_pylist()
-    ids = np.frombuffer(next(r["ids"] for r in rows if r["ids"]), np.int64)
-    sums = np.zeros((3, len(ids)))
+    head = next(r for r in rows if r["ids"])
+    # batches of equal doc_ids share a name: each of their rows adds to the same documents
+    ids, null = np.frombuffer(head["ids"], np.int64), np.frombuffer(head["null"], np.uint8) > 0
+    n = sum(np.frombuffer(r["tokens"], np.int32).astype(np.int64) for r in rows if r["ids"])
+    sums = np.zeros((2, len(ids)))
     for r in rows:
         own = np.frombuffer(r["own"], np.uint16)
-        for k, (name, kind) in enumerate((("target", np.float64), ("background", np.float64), ("n", np.int32))):
-            sums[k, own] += np.frombuffer(r[name], kind)
-    some = sums[2] > 0
-    return pa.table({"doc_id": pa.array(ids[some]), "target": pa.array(sums[0, some]), "background": pa.array(sums[1, some]), "n": pa.array(sums[2, some].astype(np.int64))})
+        for k, name in enumerate(("target", "background")):
+            sums[k, own] += np.frombuffer(r[name])
+    some = n > 0
+    return pa.table({"doc_id": pa.array(ids[some], mask=null[some]), "target": pa.array(sums[0, some]), "background": pa.array(sums[1, some]), "n": pa.array(n[some])})
 
 
 def cross_entropy_difference(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int | None = None) -> DataFrame:
@@ -248,16 +272,17 @@ def cross_entropy_difference(docs: DataFrame, chosen: DataFrame, id_col: str = "
     are told apart; without it all are.
     """
     good = chosen.select(F.col(chosen.columns[0]).cast("long").alias("doc_id"), F.lit(True).alias("target")).where("doc_id is not null").distinct()
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    rows = base.join(good.hint("merge"), "doc_id", "left")
-    rows = stage(rows.select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target")), "texts")
+    good, n = stage_counted(good, "target")
+    good = F.broadcast(good) if n <= BROADCAST_IDS else good.hint("merge")
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = base.join(good, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
     table = unigrams(rows, vocabulary)
     parts = max(1, -(-table.totals[1] // PARTITION_TOKENS))
     packed = pack_bigrams(rows, table, parts)
     partial = packed.groupBy("part").applyInArrow(_score(table), PARTIAL)
     scored = partial.groupBy("batch").applyInArrow(_gathered, "doc_id long, target double, background double, n long")
     scored = scored.groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum("target").alias("t"), F.sum("background").alias("b"))
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"))
-    out = out.distinct().join(scored, "doc_id", "left")
+    out = base.select("doc_id").distinct()
+    out = out.hint("merge").join(scored.withColumnRenamed("doc_id", "_d"), F.col("doc_id").eqNullSafe(F.col("_d")), "left")
     n = F.col("n")
     return out.select("doc_id", F.coalesce(n, F.lit(0)).alias("n_tokens"), (F.col("t") / n).alias("target_loss"), (F.col("b") / n).alias("background_loss"), ((F.col("t") - F.col("b")) / n).alias("score"))
