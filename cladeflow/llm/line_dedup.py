@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladeflow.functions.staging import stage
+from cladeflow.functions.staging import stage, unstage
 
 TRIMMED = " \t\r\x0b\x0c"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -51,16 +51,29 @@ def _islands(lines: DataFrame) -> DataFrame:
 
 
 def _double(ranks: DataFrame, k: int) -> DataFrame:
-    """Adds the offset l{k+1} of ranks by 2**(k+1) lines; null where that prefix is unique."""
+    """Adds the offset l{k+1} of ranks by 2**(k+1) lines; null where that prefix is unique.
+
+    The distinct pairs of a common line are ordered in ranges of the following line's
+    hash, so that no line's pairs meet in one task; tables that are joined by a key that
+    many rows may share are staged, so that such a key's partition can be split.
+    """
     along = Window.partitionBy("d", "v", "island").orderBy("s")
     old, new = f"l{k}", f"l{k + 1}"
     step = 1 << k
     ahead = ranks.withColumn("h2", F.lead("h", step).over(along)).withColumn("o2", F.lead(old, step).over(along))
     live = f"{old} is not null and o2 is not null"
     groups = ahead.where(live).groupBy("h", old, "h2", "o2").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("h", old).orderBy("h2", "o2").rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.withColumn(new, F.col(old) + F.coalesce(F.sum("n").over(before), F.lit(0))).where("n > 1").drop("n")
-    return stage(ahead.join(groups, ["h", old, "h2", "o2"], "left").drop("h2", "o2"), "ranks")
+    groups = stage(groups.withColumn("range", F.shiftright("h2", 56)), "pairs")
+    ranges = groups.groupBy("h", old, "range").agg(F.sum("n").alias("all"))
+    earlier = Window.partitionBy("h", old).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("ahead", F.coalesce(F.sum("all").over(earlier), F.lit(0))).drop("all")
+    before = Window.partitionBy("h", old, "range").orderBy("h2", "o2").rowsBetween(Window.unboundedPreceding, -1)
+    named = groups.withColumn("within", F.coalesce(F.sum("n").over(before), F.lit(0))).where("n > 1")
+    named = named.join(ranges.hint("merge"), ["h", old, "range"]).withColumn(new, F.col(old) + F.col("ahead") + F.col("within"))
+    named = stage(named.select("h", old, "h2", "o2", new), "named")
+    out = stage(ahead.join(named.hint("merge"), ["h", old, "h2", "o2"], "left").drop("h2", "o2"), "ranks")
+    unstage(ranks, groups, named)
+    return out
 
 
 def _run(a: Column, j: Column, size: Column, levels: int) -> Column:
@@ -112,20 +125,26 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     name = ["size", "h1", "o1", "h2", "o2"]
     heads = runs.groupBy(*name).agg(F.min(F.struct("d", "v", "s")).alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = runs.join(heads, name).where(F.struct("d", "v", "s") > F.col("head"))
+    # staged, so that the partition of a passage that many documents share can be split
+    later = runs.join(stage(heads, "heads").hint("merge"), name).where(F.struct("d", "v", "s") > F.col("head"))
     covered = later.select("d", "v", F.explode(F.sequence("first", "last")).alias("i")).distinct()
     joined = covered.withColumn("run", F.col("i") - F.row_number().over(Window.partitionBy("d", "v").orderBy("i")))
     joined = joined.groupBy("d", "v", "run").agg(F.min("i").alias("first"), F.max("i").alias("last"))
     return joined.groupBy("d", "v").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
-    """``docs`` with later copies of repeated runs cut out of the text, and ``deleted_runs``."""
-    names = [c for c in docs.columns if c != "deleted_runs"]
-    found = stage(repeated_runs(docs, id_col, text_col, min_words).select(F.col("d").alias("_d"), F.col("v").alias("_v"), F.col("runs").alias("deleted_runs")), "deleted")
-    rows = docs.select(*names).withColumn("_h", F.xxhash64(text_col))
-    found = found.hint("merge")  # the deletions grow with the input, so they are never broadcast
-    out = rows.join(found, (rows[id_col] == found["_d"]) & (rows["_h"] == found["_v"]), "left")
-    kept = F.filter(F.split(text_col, "\n", -1), lambda x, i: ~F.exists("deleted_runs", lambda r: (r["first"] <= i) & (i <= r["last"])))
-    text = F.when(F.col("deleted_runs").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in names], F.coalesce("deleted_runs", F.array().cast("array<struct<first:int,last:int>>")).alias("deleted_runs"))
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, runs_col: str | None = "deleted_runs") -> DataFrame:
+    """``docs`` with later copies of repeated runs cut out of the text, and ``runs_col`` with what was cut.
+
+    Other columns are kept, whatever their names; one called as ``runs_col`` gives way to it.
+    """
+    names = [c for c in docs.columns if c != runs_col]
+    kept = [f"_k{i}" for i in range(len(names))]  # the caller's names may be any
+    found = repeated_runs(docs, id_col, text_col, min_words).select(F.col("d").alias("_d"), F.col("v").alias("_v"), F.col("runs").alias("_runs"))
+    found = stage(found, "deleted").hint("merge")  # the deletions grow with the input, so they are never broadcast
+    rows = docs.select(*[docs[c].alias(k) for c, k in zip(names, kept, strict=True)], docs[id_col].alias("_id"), docs[text_col].alias("_text")).withColumn("_h", F.xxhash64("_text"))
+    out = rows.join(found, (F.col("_id") == F.col("_d")) & (F.col("_h") == F.col("_v")), "left")
+    lines = F.filter(F.split("_text", "\n", -1), lambda x, i: ~F.exists("_runs", lambda r: (r["first"] <= i) & (i <= r["last"])))
+    text = F.when(F.col("_runs").isNull(), F.col("_text")).otherwise(F.array_join(lines, "\n"))
+    cut = [F.coalesce("_runs", F.array().cast("array<struct<first:int,last:int>>")).alias(runs_col)] if runs_col else []
+    return out.select(*[text.alias(c) if c == text_col else F.col(k).alias(c) for c, k in zip(names, kept, strict=True)], *cut)
