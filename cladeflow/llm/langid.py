@@ -6,11 +6,14 @@ leader (per-coordinate steps, L1 and L2 penalties, so most weights are exactly 0
 temperature fitted on a part of the training sample kept apart calibrates the scores.
 
 Document frequencies cover every training document. The fit itself uses a bounded sample:
-about ``per_lang`` documents of each language, chosen by a hash of the id.
+about ``per_lang`` documents of each language, and at most about ``FIT_ROWS`` in all, chosen
+by a hash of the id; of a document it holds at most a count for each bucket.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0. A null
 language never trains. Without any training document everything is ``und``. Equal
-texts get equal results.
+texts get equal results, so that repeated rows do, and ties go to the first language by
+name. A row with a null id counts as not held out. Columns other than those named play no
+part, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from pyspark.sql import functions as F
 from cladeflow.llm.tokens import mix
 
 PER_LANG = 1500  # documents of a language in the fit's sample, about
+FIT_ROWS = 12_000  # of all languages together
 UND = "und"
 CHUNK_CHARS = 400_000
 
@@ -143,7 +147,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFra
 
 
 def in_held_out() -> Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def document_frequencies(texts: DataFrame, dims: int) -> tuple[int, np.ndarray]:
@@ -170,9 +174,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
+    per_lang = min(per_lang, max(1, FIT_ROWS // len(sizes)))
     total, df = document_frequencies(train, dims)
     idf = np.log((1 + total) / (1 + df)) + 1
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.xxhash64("text").cast("string")), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     rate = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_lang / n))])
     sample = train.where(draw < rate[F.col("lang")])
 

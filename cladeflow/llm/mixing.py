@@ -17,7 +17,8 @@ Sizes, order and draws depend on doc_id, size and seed alone, so reruns agree.
 Defined results: a null text has size 0 and is never taken; a null source is a source of
 its own, last in order; rows with one doc_id in one source are packed by (doc_id, size),
 and equal rows share the mean of their words, rounded down or up; with no words at all
-targets are 0.
+targets are 0. A text of any length is taken whole or in parts. Columns other than those
+named play no part, whatever their names; ``mix_documents`` repeats them.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from cladeflow.functions.staging import stage
 WORD = r"[^\x20\x09-\x0D]+"
 ROUNDS = 24  # of the swap-or-not network
 CAP = 3
+SHARDS = 1024  # in a range whose slots are counted by one task
 
 
 def uniform(*parts: Column | int | str) -> Column:
@@ -117,8 +119,12 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     hit = F.aggregate("mix", state, lambda t, x: F.when((t["k"] >= 0) & (t["sum"] > F.col("u")), t).otherwise(F.struct((t["sum"] + x["p"]).alias("sum"), F.when(x["p"] > 0, x["k"]).otherwise(t["k"]).alias("k"))))
     counts = draws.withColumn("u", u).select("shard", hit["k"].alias("k")).groupBy("k", "shard").agg(F.count("*").alias("n"))
     counts = stage(counts, "counts")
-    through = Window.partitionBy("k").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("first", F.coalesce(F.sum("n").over(through), F.lit(0)))
+    # slots of a source before a shard: those of earlier ranges of shards, and those inside its range
+    counts = counts.withColumn("range", F.floor(F.col("shard") / SHARDS))
+    ranges = counts.groupBy("k", "range").agg(F.sum("n").alias("n"))
+    ranges = ranges.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("k").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    through = Window.partitionBy("k", "range").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("first", F.coalesce(F.sum("n").over(through), F.lit(0))).join(ranges, ["k", "range"]).withColumn("first", F.col("first") + F.col("before")).drop("range", "before")
     drawn = counts.groupBy("k").agg(F.sum("n").alias("drawn"))
     missing = sources.join(drawn, "k", "left").select("k", F.col("slots"), F.coalesce("drawn", F.lit(0)).alias("drawn"))
     missing = missing.where("slots > drawn").select("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - F.col("drawn") - 1) / shard_slots))).alias("m"), "slots", "drawn")
@@ -191,8 +197,10 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     took = took.groupBy("doc_id", "k", "size", "turn").agg(F.sort_array(F.collect_list(F.struct("word", "n"))).alias("parts"), F.sum("n").alias("all"))
     took = took.join(sources.select("k", F.col("source").alias("_s")), "k").select(F.col("doc_id").alias("_d"), "_s", F.col("size").alias("_n"), "turn", F.when(F.col("all") < F.col("size"), F.col("parts")).alias("parts"))
     took = stage(took, "taken").hint("merge")  # grows with the input: never broadcast
-    rows = docs.withColumn("_w", F.regexp_count(text_col, F.lit(WORD)).cast("long"))
-    out = rows.join(took, rows[id_col].cast("long").eqNullSafe(took["_d"]) & rows[source_col].cast("string").eqNullSafe(took["_s"]) & (rows["_w"] == took["_n"]))
-    words = F.regexp_extract_all(text_col, F.lit(WORD + r"[\x20\x09-\x0D]*"), 0)
-    text = F.when(F.col("parts").isNull(), F.col(text_col)).otherwise(F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(words, (p["word"] + 1).cast("int"), p["n"].cast("int")))), ""))
-    return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    names = [f"_k{i}" for i in range(len(docs.columns))]  # the caller's names may be any
+    rows = docs.select(*[docs[c].alias(k) for c, k in zip(docs.columns, names, strict=True)], docs[id_col].cast("long").alias("_id"), docs[source_col].cast("string").alias("_source"), docs[text_col].alias("_text"))
+    rows = rows.withColumn("_w", F.regexp_count("_text", F.lit(WORD)).cast("long"))
+    out = rows.join(took, rows["_id"].eqNullSafe(took["_d"]) & rows["_source"].eqNullSafe(took["_s"]) & (rows["_w"] == took["_n"]))
+    words = F.regexp_extract_all("_text", F.lit(WORD + r"[\x20\x09-\x0D]*"), 0)
+    text = F.when(F.col("parts").isNull(), F.col("_text")).otherwise(F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(words, (p["word"] + 1).cast("int"), p["n"].cast("int")))), ""))
+    return out.select(*[text.alias(c) if c == text_col else F.col(k).alias(c) for c, k in zip(docs.columns, names, strict=True)])

@@ -12,13 +12,19 @@ their sums would not be the model's encoding. There an arc is admissible when it
 may follow the last piece at its start: the byte-pair encoding of a prefix is the only
 chain of admissible arcs, which is tested by undoing the merges on both sides of the
 boundary, latest first, and asking whether a merge across it would have come before. So
-ids equal those of the library for both kinds. Words of more than ``LONG`` characters
-take the sequential merge (or Viterbi) with the same results.
+ids equal those of the library for both kinds.
+
+Words of more than ``LONG`` characters, such as sentences of scripts without blanks, are
+cut between two characters that stand side by side in no piece, where neither an arc nor a
+merge can cross. Parts that are still longer advance together with their like, filled up
+to one length. Only a part of over ``LONGEST`` characters without such a place takes the
+sequential merge (or Viterbi), with the same results.
 
 Defined results: a null text has null ids, an empty one none; a character without a piece
 becomes its UTF-8 bytes' pieces, or the unknown piece where the model has no bytes.
 Decoding restores the text unless it holds the word mark U+2581 itself or characters that
-became the unknown piece.
+became the unknown piece. Each row has a row, repeated rows equal ones, empty tables none;
+columns other than those named play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,6 +43,7 @@ from cladeflow.llm.tokens import BASE, INVERSE, mix, powers
 
 MARK = 0x2581
 LONG = 48
+LONGEST = 4096
 CHUNK_CHARS = 1_000_000
 KNOWN_WORDS = 500_000  # distinct words that a Python worker remembers between batches
 BATCH_ROWS = 500
@@ -133,6 +140,7 @@ class Model:
         else:
             reach = dict.fromkeys(self.id)
         self.longest = max(map(len, reach))
+        self.beside = np.array(sorted({ord(a) << 32 | ord(b) for p in reach for a, b in zip(p, p[1:])}), np.uint64)
         keys = np.array([self._key(p) for p in reach], np.uint64)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array([self.id[p] for p in reach], np.int64)[order]
@@ -282,8 +290,23 @@ class Model:
             self.cache_ok[slot[miss][same]] = ok[same]
         return out
 
-    def lattice(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(tokens, lengths) of words of one length: by row, from the last token backwards; -1 fills up."""
+    def parts(self, codes: np.ndarray, core: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, start, end) of the parts of words: long ones are cut where no piece has both characters side by side."""
+        word, start, stop = [np.flatnonzero(end - core <= LONG)], [], []
+        start.append(core[word[0]])
+        stop.append(end[word[0]])
+        for i in np.flatnonzero(end - core > LONG).tolist():
+            c = codes[core[i] : end[i]].astype(np.uint64)
+            pair = c[:-1] << np.uint64(32) | c[1:]
+            at = np.minimum(np.searchsorted(self.beside, pair), len(self.beside) - 1)
+            cut = core[i] + 1 + np.flatnonzero(self.beside[at] != pair)
+            start.append(np.concatenate(([core[i]], cut)))
+            stop.append(np.concatenate((cut, [end[i]])))
+            word.append(np.full(len(cut) + 1, i))
+        return np.concatenate(word), np.concatenate(start), np.concatenate(stop)
+
+    def lattice(self, codes: np.ndarray, sizes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, ends) of words of one length, or of ``sizes`` where they are filled up: by row, from the last token backwards; -2 fills up."""
         w, n = codes.shape
         sums = np.zeros((n + 1, w), np.uint64)
         np.cumsum((codes.T.astype(np.uint64) + np.uint64(1)) * powers(BASE, n)[:, None], axis=0, dtype=np.uint64, out=sums[1:])
@@ -311,7 +334,7 @@ class Model:
                 last[i], back[i] = np.where(better, token, last[i]), np.where(better, k, back[i])
             total[i] = best
         tokens, ends = [], []
-        at, row = np.full(w, n), np.arange(w)
+        at, row = np.full(w, n) if sizes is None else sizes.copy(), np.arange(w)
         while (at > 0).any():
             tokens.append(np.where(at > 0, last[at, row], -2))
             ends.append(at)
@@ -395,23 +418,37 @@ class Model:
         """(first token, number of tokens, all tokens) of words."""
         n = end - core
         token_of, word_of, place_of = [], [], []
-        slow: dict[int, list[int]] = {}
-        for size in np.unique(n[n <= LONG]).tolist():
-            own = np.flatnonzero(n == size)
-            for s in range(0, len(own), 20_000):
-                rows = own[s : s + 20_000]
-                tokens, ends = self.lattice(codes[core[rows][:, None] + np.arange(size)])
+        of, start, stop = self.parts(codes, core, end)
+        length = stop - start
+
+        def advance(own: np.ndarray, size: int) -> None:
+            """Parts ``own``, filled up to ``size`` characters."""
+            step = max(1, min(20_000, 2_000_000 // size))
+            for s in range(0, len(own), step):
+                rows = own[s : s + step]
+                inside = np.arange(size) < length[rows][:, None]
+                tokens, ends = self.lattice(np.where(inside, codes[np.minimum(start[rows][:, None] + np.arange(size), len(codes) - 1)], 0), None if inside.all() else length[rows])
                 r, c = np.nonzero(tokens > -2)
-                t, e = tokens[r, c], ends[r, c]
+                t, e = tokens[r, c], ends[r, c] + start[rows[r]]
                 lost = np.flatnonzero(t == -1)
                 value = t.copy()
-                value[lost] = -2 - codes[core[rows[r[lost]]] + e[lost] - 1].astype(np.int64)
+                value[lost] = -2 - codes[e[lost] - 1].astype(np.int64)
                 token_of.append(value)
-                word_of.append(rows[r])
+                word_of.append(of[rows[r]])
                 place_of.append(e)
-        for i in np.flatnonzero(n > LONG).tolist():
-            word = joined[core[i] : end[i]]
-            slow[i] = self.spelled(self.merge(word) if self.kind == BPE else self.best(word))
+
+        for size in np.unique(length[length <= LONG]).tolist():
+            advance(np.flatnonzero(length == size), size)
+        wide = np.flatnonzero((length > LONG) & (length <= LONGEST))
+        for power in np.unique(np.ceil(np.log2(length[wide]))).tolist():
+            own = wide[np.ceil(np.log2(length[wide])) == power]
+            advance(own, int(length[own].max()))
+        for x in np.flatnonzero(length > LONGEST).tolist():
+            part = joined[start[x] : stop[x]]
+            ids = np.array(self.spelled(self.merge(part) if self.kind == BPE else self.best(part)), np.int64)
+            token_of.append(ids)
+            word_of.append(np.full(len(ids), of[x]))
+            place_of.append(np.full(len(ids), start[x]))  # sorted as they are, at their part's place
         token = np.concatenate(token_of) if token_of else np.zeros(0, np.int64)
         word = np.concatenate(word_of) if word_of else np.zeros(0, np.int64)
         order = np.lexsort((np.concatenate(place_of) if place_of else word, word))
@@ -432,14 +469,12 @@ class Model:
             word = np.repeat(word, size)
         at = np.searchsorted(word, np.arange(len(n) + 1))
         length = np.diff(at)
-        more = np.flatnonzero(marks > 1)
         extra, where = [token], len(token)
         at = at[:-1].copy()
-        for i in sorted({*more.tolist(), *slow}):
-            ids = slow.get(i, token[at[i] : at[i] + length[i]].tolist() if i not in slow else [])
-            if marks[i] > 1:
-                alone = ids and ids[0] == self.id.get(chr(MARK))
-                ids = self.run(int(marks[i]) - (not alone)) + list(ids[1:] if alone else ids)
+        for i in np.flatnonzero(marks > 1).tolist():
+            ids = token[at[i] : at[i] + length[i]].tolist()
+            alone = ids and ids[0] == self.id.get(chr(MARK))
+            ids = self.run(int(marks[i]) - (not alone)) + list(ids[1:] if alone else ids)
             at[i], length[i] = where, len(ids)
             extra.append(np.array(ids, np.int64))
             where += len(ids)

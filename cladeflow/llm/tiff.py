@@ -5,8 +5,11 @@ strips or tiles stored plain, as PackBits, LZW or deflate, undoes the horizontal
 predictor and yields the 8-bit samples of each page in row order.
 
 Defined results: a null or empty media value gives no row; a value that is not a TIFF,
-is cut short or uses an unsupported feature gives one row with page 0, null samples and
-``error`` set, so that one bad row never fails a job. Repeated rows give repeated rows.
+is cut short, is damaged or uses an unsupported feature gives the pages before the fault
+and one row with null samples and ``error`` set, so that one bad row never fails a job. A
+page's size is held against what its strips can unpack to, and against ``PAGE_BYTES``,
+before memory is taken. Repeated rows give repeated rows, null ids are kept, empty tables
+give empty ones; columns other than those named play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +32,8 @@ NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 TYPE_FORMATS = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i"}
 
 ROW_BYTES = 192  # 64 pixels of 3 samples
-LZW_LIMIT = 4096  # LZW is coded in Python; only small payloads are stored with it
+PAGE_BYTES = 1 << 30  # of the largest page that is unpacked
+RATIO = {NONE: 1, PACKBITS: 64, LZW: 2731, DEFLATE: 1032, OLD_DEFLATE: 1032}  # most bytes that one stored byte can unpack to
 
 
 class TiffError(ValueError):
@@ -98,26 +102,33 @@ def lzw_encode(data: bytes) -> bytes:
             out.append(acc >> bits & 255)
         acc &= (1 << bits) - 1
 
-    codes = {bytes((i,)): i for i in range(256)}
+    codes: dict[int, int] = {}  # (code of a string) * 256 + next byte: the longer string's code
     put(256, 9)
-    width, following, prefix = 9, 258, b""
-    for i in range(len(data)):
-        longer = prefix + data[i : i + 1]
-        if longer in codes:
+    width, following, prefix = 9, 258, -1
+    for c in data:
+        if prefix < 0:
+            prefix = c
+            continue
+        longer = codes.get(prefix << 8 | c)
+        if longer is not None:
             prefix = longer
             continue
-        put(codes[prefix], width)
-        codes[longer] = following
+        acc, bits = acc << width | prefix, bits + width
+        while bits >= 8:
+            bits -= 8
+            out.append(acc >> bits & 255)
+        acc &= (1 << bits) - 1
+        codes[prefix << 8 | c] = following
         following += 1
         if following == 4094:
             put(256, width)
-            codes = {bytes((i,)): i for i in range(256)}
+            codes = {}
             width, following = 9, 258
         elif following >= 1 << width and width < 12:
             width += 1
-        prefix = data[i : i + 1]
-    if prefix:
-        put(codes[prefix], width)
+        prefix = c
+    if prefix >= 0:
+        put(prefix, width)
         following += 1
         if following >= 1 << width and width < 12:
             width += 1
@@ -195,8 +206,8 @@ def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, tuple], int]
         p = at + 2 + 12 * i
         tag, kind, count = struct.unpack_from(order + "HHI", data, p)
         form = TYPE_FORMATS.get(kind)
-        if form is None:
-            continue
+        if form is None or not count:
+            continue  # of no known kind, or without a value: as if it were not there
         size = struct.calcsize(order + form) * count
         where = p + 8 if size <= 4 else struct.unpack_from(order + "I", data, p + 8)[0]
         if where + size > len(data):
@@ -220,12 +231,20 @@ def _page(data: bytes, tags: dict[int, tuple]) -> tuple[int, int, int, int, byte
         raise TiffError(f"predictor {predictor}")
     tiled = TILE_OFFSETS in tags
     tw, tl = (one(TILE_WIDTH, 0), one(TILE_LENGTH, 0)) if tiled else (w, min(h, one(ROWS_PER_STRIP, h)))
-    if not (w and h and tw and tl):
-        raise TiffError("an empty image")
+    if min(w, h, spp, tw, tl) < 1:
+        raise TiffError("an image without size or samples")
+    if compression not in RATIO:
+        raise TiffError(f"compression {compression}")
     offsets, counts = tags.get(TILE_OFFSETS if tiled else STRIP_OFFSETS, ()), tags.get(TILE_COUNTS if tiled else STRIP_COUNTS, ())
     across, down = -(-w // tw), -(-h // tl)
     if len(offsets) < across * down or len(counts) < across * down:
         raise TiffError("strips or tiles are missing")
+    stored = sum(counts[: across * down])
+    if min(offsets) < 0 or min(counts) < 0 or stored > len(data) * 16:
+        raise TiffError("strips or tiles of impossible sizes")
+    unpacked = across * tw * spp * (down * tl if tiled else h)
+    if unpacked > min(PAGE_BYTES, RATIO[compression] * (stored + 64)):
+        raise TiffError("a page larger than its strips or tiles can hold")
     image = np.empty((h, w * spp), np.uint8)
     for k in range(across * down):
         y, x = k // across * tl, k % across * tw
@@ -254,7 +273,9 @@ def read_pages(data: bytes) -> Iterator[tuple[int, int, int, int, bytes]]:
             seen.add(at)
             tags, at = _directory(data, at, order)
             yield _page(data, tags)
-    except (KeyError, struct.error) as e:
+    except TiffError:
+        raise
+    except (KeyError, IndexError, ValueError, OverflowError, MemoryError, struct.error) as e:
         raise TiffError(f"not readable: {e}") from e
 
 
@@ -314,23 +335,22 @@ def text_to_tiff(data: bytes, page_rows: int = 4096) -> tuple[bytes, int]:
     Blanks fill the payload up to a positive multiple of 192 bytes: rows of 64 RGB
     pixels, at most ``page_rows`` a page. The storage form follows from the payload's
     CRC alone, so equal texts have equal files: of 8 parts 3 are deflated strips with
-    predictor, 2 deflated tiles, 2 PackBits strips, and 1 is LZW where the payload is at
-    most ``LZW_LIMIT`` bytes, else big-endian deflated strips.
+    predictor, 2 deflated tiles, 2 PackBits strips and 1 LZW strips with predictor, of
+    either byte order.
     """
     size = max(1, -(-len(data) // ROW_BYTES)) * ROW_BYTES
     payload = data + b" " * (size - len(data))
     image = np.frombuffer(payload, np.uint8).reshape(-1, 64, 3)
     pages = [image[i : i + page_rows] for i in range(0, len(image), page_rows)]
-    form = zlib.crc32(payload) % 8
-    if form < 3:
-        return write_tiff(pages, DEFLATE, predictor=True), size
-    if form < 5:
-        return write_tiff(pages, DEFLATE, tile=32), size
-    if form < 7:
-        return write_tiff(pages, PACKBITS), size
-    if size <= LZW_LIMIT:
-        return write_tiff(pages, LZW, predictor=True), size
-    return write_tiff(pages, DEFLATE, order=">"), size
+    form = zlib.crc32(payload) % 16
+    order = "<>"[form // 8]
+    if form % 8 < 3:
+        return write_tiff(pages, DEFLATE, predictor=True, order=order), size
+    if form % 8 < 5:
+        return write_tiff(pages, DEFLATE, tile=32, order=order), size
+    if form % 8 < 7:
+        return write_tiff(pages, PACKBITS, order=order), size
+    return write_tiff(pages, LZW, predictor=True, order=order), size
 
 
 # ---------------------------------------------------------------- Spark
@@ -381,7 +401,8 @@ FORMS = {NONE: "none", LZW: "lzw", DEFLATE: "deflate", PACKBITS: "packbits"}
 def text_media_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Store each text as a TIFF, read the stored bytes back, and describe both.
 
-    A null text counts as empty; its payload is 192 blanks. One row per input row.
+    A null text counts as empty; its payload is 192 blanks. One row per input row, whatever
+    its id; other columns play no part, whatever their names.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 

@@ -44,6 +44,18 @@ def test_against_brute_force(spark, least):
     assert solid(got) == solid(brute(rows, least))
 
 
+def test_long_runs_are_one_interval(spark):
+    shared = [f"line {k} of a passage that two documents share" for k in range(140)]
+    hot = "the same short line"
+    rows = [(1, "\n".join(shared)), (2, "\n".join(["before", *shared[:100], "after", hot])), (3, "\n".join([hot, *shared[20:140], "x"]))]
+    rows += [(10 + k, "\n".join([f"own {k}", hot, f"own too {k}", hot])) for k in range(200)] + [(500, "w " * 30_000)]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, d long, runs long")
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
+    runs = {i: [tuple(x) for x in r.deleted_runs] for i, r in got.items() if r.deleted_runs}
+    assert runs == {2: [(1, 100)], 3: [(1, 120)]} and got[3].text == hot + "\nx" and got[500].text == "w " * 30_000
+    assert all((r.d, r.runs) == (1, 2) for r in got.values())
+
+
 def test_edge_cases(spark):
     passage = "\n".join(f"{k} one two three four five six seven eight nine ten" for k in range(6))
     rows = [(1, passage), (2, "own\n" + passage + "\r\nmore"), (2, "own\n" + passage + "\r\nmore"), (3, None), (4, ""), (None, passage), (5, "own")]

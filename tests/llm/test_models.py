@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cladeflow.llm import langid, quality, xent
@@ -44,6 +45,85 @@ def test_quality_learns(spark):
     assert both[both.quality == 1].score.mean() > both[both.quality == 0].score.mean()
 
 
+def test_quality_on_labels_kept_apart(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "quality")
+    got = {r.doc_id: r.score for r in quality.classify(docs, labels.where("doc_id % 3 <> 0")).collect()}
+    held = [(got[r.doc_id], r.quality) for r in labels.where("doc_id % 3 = 0").collect() if r.doc_id in got]
+    good, bad = ([s for s, q in held if q == k] for k in (1, 0))
+    assert len(good) > 20 and len(bad) > 20
+    assert np.mean([(a > b) + (a == b) / 2 for a in good for b in bad]) > 0.8  # the area under the curve
+
+
+def test_quality_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(quality, "PER_ROUND", 10)
+    rng = random.Random(2)
+    rows = []
+    for i in range(150):
+        kind = i % 2
+        text = " ".join(rng.choices(["lorem", "ipsum", "dolor", "BUY", "now", "1"], weights=[5, 5, 5, 1, 1, 1] if kind else [1, 1, 1, 5, 5, 5], k=rng.randrange(3, 40)))
+        rows.append((i, text, rng.choice("ab") if rng.random() < 0.7 else "cd"[kind], "en", len(text)))
+    labels = [(i, i % 2) for i in range(0, 60)]
+    schema = "doc_id long, text string, source string, lang string, n_chars long"
+    got = {r.doc_id: (r.text_score, r.meta_score, r.score) for r in quality.classify(spark.createDataFrame([(*r, "x") for r in rows], schema + ", y string").repartition(4), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    t = pa.table({k: [r[j] for r in rows] for j, k in enumerate(("doc_id", "text", "source", "lang", "n_chars"))})
+    x = (quality.text_view(t["text"].combine_chunks()), quality.meta_view([t["source"].combine_chunks(), t["lang"].combine_chunks()], t["n_chars"].combine_chunks()))
+    rounds = []
+
+    def most_sure(models, given, n_good, n_bad):
+        rounds.append(models)
+        out = []
+        for v in (0, 1):
+            z = {i: float(quality.logits(x[v][[i]], models[v])[0]) for i in range(60, 150) if i not in given[1 - v]}
+            good = [i for _, i in sorted((-s, i) for i, s in z.items() if s > 0)[:n_good]]
+            bad = [i for _, i in sorted((s, i) for i, s in z.items() if s < 0)[:n_bad]]
+            out.append({i: (1.0, x[1 - v][i]) for i in good} | {i: (0.0, x[1 - v][i]) for i in bad})
+        return out
+
+    order = sorted(range(60), key=lambda i: (zlib.crc32(str(i).encode()), i))
+    model = quality.co_train(x[0][order], x[1][order], np.array([i % 2 for i in order], float), most_sure)
+    want = np.stack(model.views(*x), axis=1)
+    assert len(rounds) == quality.ROUNDS
+    assert np.allclose([got[i] for i in range(150)], want, atol=1e-3)
+
+
+def test_language_against_brute_force(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(120)
+    model = langid.fit(docs, per_lang=20)
+    texts = ["Das ist ein Haus", "the house", "日本 Été ÉTÉ", "a", "1 2", None, "", "x\0y z " * 2000]
+    got = {r.doc_id: r for r in langid.predict(spark.createDataFrame([(i, t, "q") for i, t in enumerate(texts)], "doc_id long, text string, score string"), model).collect()}
+    for i, t in enumerate(texts):
+        if not t or not any(map(str.isalpha, t)):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        tf, low = Counter(), t.lower()
+        for n in (1, 2, 3):
+            for k in range(len(low) - n + 1):
+                h = 0
+                for c in low[k : k + n]:
+                    h = (h * 0x9E3779B97F4A7C15 + ord(c) + 1) % 2**64
+                if "\0" not in low[k : k + n]:
+                    tf[int(langid.mix(np.array([(h + n) % 2**64], np.uint64))[0]) % model.dims] += 1
+        x = {b: (1 + math.log(n)) * model.idf[b] for b, n in tf.items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        z = [sum(v / norm * model.weights[b, k] for b, v in x.items()) + model.bias[k] for k in range(len(model.langs))]
+        p = [math.exp((a - max(z)) / model.temperature) for a in z]
+        assert got[i].lang_pred == model.langs[int(np.argmax(z))] and got[i].score == pytest.approx(max(p) / sum(p), abs=1e-9)
+    null = spark.createDataFrame([(None, "the and", "en"), (4, "the and", "en")], "doc_id long, text string, lang string")
+    assert all(r.held_out is not None for r in langid.identify(null).collect())
+
+
+def test_sparse_regression_learns_and_stays_sparse():
+    rng = np.random.default_rng(3)
+    labels = rng.integers(0, 3, 300)
+    rows = []
+    for y in labels:
+        at = np.unique(np.concatenate((rng.choice(np.arange(10 * y, 10 * y + 10), 4), rng.choice(np.arange(30, 200), 6))))
+        rows.append((at, np.full(len(at), 1 / np.sqrt(len(at)))))
+    w, bias = langid.ftrl(rows, labels, 200, 3)
+    z = np.array([x @ w[at] + bias for at, x in rows])
+    assert (z.argmax(1) == labels).mean() > 0.98 and (w == 0).mean() > 0.3
+
+
 def test_quality_edge_cases(spark):
     docs = spark.createDataFrame([(1, None, None, None, None), (2, "", "a", "en", 0), (None, "x y", "b", "de", 3), (2, "", "a", "en", 0)], "doc_id long, text string, source string, lang string, n_chars long")
     none = spark.createDataFrame([], "doc_id long, quality int")
@@ -99,6 +179,24 @@ def test_lm_scores_against_brute_force(spark, monkeypatch, vocabulary):
     assert xent.cross_entropy_difference(docs.limit(0), docs.select("doc_id").limit(0)).count() == 0
 
 
+def test_lm_null_and_repeated_ids(spark):
+    rows = [(1, "a b"), (1, "b c"), (2, "a b"), (None, "a c"), (None, "c"), (None, None), (3, "")]
+    docs = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, score double")
+    chosen = spark.createDataFrame([(2,), (None,)], "doc_id long")
+    got = sorted(xent.cross_entropy_difference(docs, chosen).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0))
+    assert [(r.doc_id, r.n_tokens, r.score is None) for r in got] == [(1, 6, False), (2, 3, False), (3, 0, True), (None, 5, False)]
+    uni, bi, hist = Counter(), Counter(), Counter()
+    for _, t in rows:
+        if t:
+            seq = ["<s>", *t.split(), "</s>"]
+            uni.update(seq[1:])
+            hist.update(seq[:-1])
+            bi.update(zip(seq, seq[1:]))
+    smooth = xent.MU / (sum(uni.values()) + 5)
+    pairs = [p for t in ("a c", "c") for p in zip(["<s>", *t.split()], [*t.split(), "</s>"])]
+    assert got[3].background_loss == pytest.approx(np.mean([-math.log((bi[p] + smooth * (uni[p[1]] + 1)) / (hist[p[0]] + xent.MU)) for p in pairs]))
+
+
 def test_lm_takes_every_word(spark):
     texts = {i: " ".join(f"w{i * 700 + k}" for k in range(700)) for i in range(100)} | {200: "w1 w2 rare", 201: "w1 w2 seldom"}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)

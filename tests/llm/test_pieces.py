@@ -36,6 +36,20 @@ def test_same_ids_as_the_library(model):
     assert [b.decode() for b in model.decode(ids, bounds)] == t
 
 
+def test_words_of_any_length(model, monkeypatch):
+    own = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rng = random.Random(5)
+    letters = [p.strip(chr(spm.MARK)) for p in model.pieces[259:] if p.strip(chr(spm.MARK)).isalpha()]
+    t = ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(3000)), "的一是不" * 900, "".join(rng.choices(letters, k=800)), "x" * 5000, "日本語テキスト" * 300 + "abc" * 40]
+    t += ["".join(rng.choices(letters, k=rng.randrange(12, 60))) for _ in range(60)]
+    plain = []
+    monkeypatch.setattr(model, "merge", lambda w, trace=None: plain.append(len(w)) or spm.Model.merge(model, w, trace))
+    ids, bounds = model.encode(t)
+    assert split(ids, bounds) == own.encode(t, num_threads=1)
+    assert [b.decode() for b in model.decode(ids, bounds)] == t
+    assert all(n > spm.LONGEST for n in plain if n > 1)
+
+
 def test_unigram_against_sequential_viterbi():
     with open(PIECES, "rb") as f:
         model = spm.Model(f.read(), kind=spm.UNIGRAM)
