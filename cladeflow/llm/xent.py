@@ -49,7 +49,7 @@ from cladeflow.llm.tokens import mix, words
 MU = 100.0
 BATCH_ROWS = 2_500  # places in a batch must fit 16 bits
 PARTITION_TOKENS = 3_000_000  # about the tokens of one part, whatever the input
-BROADCAST_IDS = 2_000_000  # target documents of whose ids a copy goes to every task; beyond, texts are joined by merge
+BROADCAST_IDS = 500_000  # target documents of whose ids a copy goes to every task; beyond, texts are joined by merge
 END, UNKNOWN = np.uint64(0), np.uint64(1)  # as words; END as a history is the start
 
 
