@@ -3,11 +3,12 @@
 The text view sees the words and the shape of the text: hashed word frequencies and rates
 of letters, capitals, digits, punctuation, repeated words and lines. The metadata view
 sees what describes the page: hashed source and language, and its length. Each view has a
-logistic regression. In each round, a pass scores all unlabelled documents, and every view
-labels those it is most sure of among all of them, in the proportion of the labelled
-classes, for the other view; then both are fitted again. Finally each view's scores are calibrated on labelled documents kept apart (Platt
-scaling), and the calibrated log-odds are combined with weights by how well each view
-does there.
+logistic regression. In each round, both views are calibrated on labelled documents kept
+apart (Platt scaling), and a pass scores all unlabelled documents. Every view labels, for
+the other, those it is most sure of among all of them, in the proportion of the labelled
+classes; a label counts as sure if its calibrated probability is ``SURE`` or more, so that a
+view that knows little gives little. Then both are fitted again. Finally the calibrated
+log-odds are combined with weights by how well each view does on the documents kept apart.
 
 The fit uses a bounded sample of about ``LABELLED`` labelled rows, chosen by hashes of the
 id, and ``PER_ROUND`` pseudo-labels a view and round. The latter are a parameter of the fit:
@@ -38,6 +39,8 @@ WORD_DIMS = 512
 META_DIMS = 128
 ROUNDS = 5
 PER_ROUND = 400  # pseudo-labels a view gives in a round
+SURE = 0.95  # least calibrated probability of a pseudo-label
+SURE_LOGIT = float(np.log(SURE / (1 - SURE)))
 
 LETTER, CAPITAL, DIGIT, PUNCT, HIGH = (np.zeros(256, bool) for _ in range(5))
 LETTER[list(range(65, 91)) + list(range(97, 123))] = True
@@ -176,8 +179,8 @@ class Model(NamedTuple):
 def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, most_sure: Callable[..., list[dict[int, tuple[float, np.ndarray]]]]) -> Model:
     """y: 0 or 1 for each labelled row, in an order that has nothing to do with it.
 
-    ``most_sure(models, given, n_good, n_bad)`` has for each view what it labels for the
-    other: by doc_id, the label and the features in the other view.
+    ``most_sure(models, given, n_good, n_bad)``, with calibrated models, has for each view
+    what it labels for the other: by doc_id, the label and the features in the other view.
     """
     if len(np.unique(y)) < 2:
         return Model(None, None, (1, 0, 0.5), (1, 0, 0.5), float(y[0]) if len(y) else 0.5)
@@ -193,12 +196,17 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, most_sure: Calla
         weight = np.concatenate((np.ones((~apart).sum()), np.full(len(extra), 0.5)))
         return logistic(np.vstack((views[v][~apart], *[x for _, x in given[v].values()])), np.concatenate((y[~apart], extra)), weight, start, steps=80 if start is not None else 300)
 
+    held = apart if apart.any() else ~apart
     models = [fitted(0), fitted(1)]
     for _ in range(ROUNDS):
-        for v, found in enumerate(most_sure(models, given, round(PER_ROUND * share), round(PER_ROUND * (1 - share)))):
+        calibrated = []
+        for v in (0, 1):
+            scale, shift = platt(logits(views[v][held], models[v]), y[held])
+            calibrated.append(scale * models[v])
+            calibrated[-1][-1] += shift
+        for v, found in enumerate(most_sure(calibrated, given, round(PER_ROUND * share), round(PER_ROUND * (1 - share)))):
             given[1 - v] |= found
         models = [fitted(v, models[v]) for v in (0, 1)]
-    held = apart if apart.any() else ~apart
     scales, gains = [], []
     base = -np.log(np.where(y[held] == 1, y[held].mean(), 1 - y[held].mean())).mean()
     for v in (0, 1):
@@ -261,8 +269,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         z = stage(z.join(known.select("doc_id").hint("merge"), "doc_id", "left_anti").select("doc_id", "z.z0", "z.z1"), "sure")
         sure = []
         for v in (0, 1):
-            good = z.where(F.col(f"z{v}") > 0).orderBy(F.desc(f"z{v}"), "doc_id").limit(n_good).collect()
-            bad = z.where(F.col(f"z{v}") < 0).orderBy(f"z{v}", "doc_id").limit(n_bad).collect()
+            good = z.where(F.col(f"z{v}") >= SURE_LOGIT).orderBy(F.desc(f"z{v}"), "doc_id").limit(n_good).collect()
+            bad = z.where(F.col(f"z{v}") <= -SURE_LOGIT).orderBy(f"z{v}", "doc_id").limit(n_bad).collect()
             sure.append({r.doc_id: 1.0 for r in good} | {r.doc_id: 0.0 for r in bad})
         unstage(z)
         at = taken([*sure[0], *sure[1]]) if any(sure) else {}
