@@ -7,13 +7,12 @@ a query with a vector is estimated from the packed bits alone: the turned query
 to 4 bits a dimension, and the bits of each of its 4 planes that a code shares are
 counted. The code's cosine gives an error bound that grows as 1 / sqrt(bits). A vector is
 reranked with its original numbers when its estimate plus bound reaches the query's
-threshold, a score that as many vectors as are asked for are known to reach.
+threshold, a score that twice as many vectors as are asked for are known to reach.
 
 Layout: the index is a staged table of blocks of one centre with about ``BLOCK`` vectors
 each: ids, codes, scalars, and the original numbers for the rerank. Queries are in chunks
 of ``CHUNK``; a chunk meets a block only if the centre's bound, <query, centre> + |query| *
-(largest residual) * (``CELL_ERROR`` / sqrt(dimensions), at most 1), reaches the threshold
-of one of its queries. The blocks that a chunk meets lie in ``STRIPES`` tasks, each of which raises
+(largest residual), reaches the threshold of one of its queries. The blocks that a chunk meets lie in ``STRIPES`` tasks, each of which raises
 the chunk's thresholds from block to block. A stated query set meets all rows in blocks; no
 row is a key, and equal vectors spread over blocks. The centres, whose number grows with
 the square root of the vectors up to ``CENTRES``, and the first thresholds come from a
@@ -46,7 +45,6 @@ BLOCK = 4096
 CHUNK = 1024
 STRIPES = 8  # tasks of a chunk
 ERROR = 2.5  # standard deviations in the error bound
-CELL_ERROR = 4.0  # and in the bound of a centre's residuals
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -213,15 +211,15 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", *
         order = np.argsort(t["vec_id"].to_numpy(), kind="stable")
         qid, q = t["vec_id"].to_numpy()[order], matrix(t["v"].combine_chunks(), dims)[order]
         floor = np.full(len(q), -np.inf)
-        for lo in range(0, len(q) if len(ids) > k else 0, 64):
+        for lo in range(0, len(q) if len(ids) > 2 * k else 0, 64):
             own = q[lo : lo + 64] @ sampled.T
             own[qid[lo : lo + 64, None] == ids] = -np.inf
-            floor[lo : lo + 64] = np.partition(own, len(ids) - k, axis=1)[:, len(ids) - k]
+            floor[lo : lo + 64] = np.partition(own, len(ids) - 2 * k, axis=1)[:, len(ids) - 2 * k]
         norm = np.sqrt(dots(q, q))
         floor -= 1e-12 * norm * np.abs(sampled).max() * dims  # these products are rounded in another order
         out = []
         for c, (_, reach) in cells.items():
-            meet = q @ mid[c] + norm * reach * min(1.0, CELL_ERROR / dims**0.5) * (1 + 1e-9) + 1e-9 >= floor
+            meet = q @ mid[c] + norm * reach * (1 + 1e-9) + 1e-9 >= floor
             if meet.any():
                 out.append((c, t["chunk"][0].as_py(), len(q), np.flatnonzero(meet).astype(np.int32).tobytes(), qid[meet].tobytes(), q[meet].tobytes(), floor[meet].tobytes()))
         kinds = (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4)

@@ -64,9 +64,8 @@ def counts(texts: list[str], dims: int) -> Iterator[tuple[int, np.ndarray, np.nd
                 break
             h = h[:m] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1 :] + np.uint64(1)
             same = doc[:m] == doc[n - 1 :]
-            if n == 1:
-                inside = codes != 0
-            same &= inside[:m] & inside[n - 1 :]
+            whole = codes != 0 if n == 1 else whole[:m] & (codes[n - 1 :] != 0)
+            same &= whole
             keys.append(doc[:m][same] * dims + (mix(h[same] + np.uint64(n)) % np.uint64(dims)).astype(np.int64))
         table = np.bincount(np.concatenate(keys) if keys else np.zeros(0, np.int64), minlength=len(part) * dims).reshape(len(part), dims)
         for i in range(len(part)):
