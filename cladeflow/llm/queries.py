@@ -38,19 +38,26 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-def op7_sentencepiece(spark: SparkSession, sf_dir: str, path: str = PIECES) -> DataFrame:
-    return spm.encode_column(table(spark, sf_dir, "documents"), spm.load(spark, path))
+def pieces_path(spark: SparkSession) -> str:
+    """The model file: what the session names in ``cladeflow.pieces``, by any path that Spark reads, or ``PIECES``."""
+    return spark.conf.get("cladeflow.pieces", PIECES)
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    return spm.encode_column(table(spark, sf_dir, "documents"), spm.load(spark, path or pieces_path(spark)))
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return xent.cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+    out = xent.cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+    return out.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")])
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     cut = F.aggregate("deleted_runs", F.lit(0), lambda t, r: t + r["last"] - r["first"] + 1)
-    return out.select("doc_id", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"), cut.cast("long").alias("n_deleted"), "deleted_runs", "text")
+    runs = F.array_join(F.transform("deleted_runs", lambda r: F.concat(r["first"].cast("string"), F.lit("-"), r["last"].cast("string"))), ",")
+    return out.select("doc_id", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"), cut.cast("long").alias("n_deleted"), runs.alias("deleted_runs"), "text")
 
 
 def op10_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,5 +79,64 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+WORDS = r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents)"""
+
+#: Pairs of documents by their common shingles; components by transitive closure.
+JACCARD = (
+    WORDS
+    + """,
+sh as (select distinct doc_id, s from (select doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+  else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s from w)),
+n as (select doc_id, count(*) as n from sh group by doc_id),
+pair as (select a.doc_id as a, b.doc_id as b, count(*) as c from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+link as (select a, b from pair join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+ends as (select a, b from link union all select b, a from link),
+reach as (select a as node, a as seen from ends union select r.node, e.b from reach r join ends e on e.a = r.seen),
+comp as (select node, min(seen) as c from reach group by node), deg as (select a, count(*) as n from ends group by a)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(comp.c, d.doc_id) as component_id, coalesce(deg.n, 0) as n_links
+from documents d left join n on n.doc_id = d.doc_id left join comp on comp.node = d.doc_id left join deg on deg.a = d.doc_id"""
+)
+
+#: Bigram models of the documents labelled good and of all, as in the module; ' s' and ' e' are no words.
+LOSSES = (
+    WORDS
+    + """,
+good as (select distinct doc_id from labels where quality = 1),
+seq as (select w.doc_id, list_concat([' s'], w, [' e']) as x, g.doc_id is not null as t from w left join good g on g.doc_id = w.doc_id where len(w) > 0),
+bi as (select doc_id, t, x[i] as h, x[i + 1] as w from (select doc_id, t, x, unnest(range(1, len(x))) as i from seq)),
+c2 as (select h, w, count(*) as b, count(*) filter (t) as t from bi group by h, w),
+c1 as (select w, sum(b) as b, sum(t) as t from c2 group by w), ch as (select h, sum(b) as b, sum(t) as t from c2 group by h),
+total as (select sum(b) as b, sum(t) as t, count(*) filter (w <> ' e') + 2 as v from c1),
+loss as (select c2.h, c2.w, ln(ch.b + 100) - ln(c2.b + 100 * (c1.b + 1) / (total.b + v)) as b, ln(ch.t + 100) - ln(c2.t + 100 * (c1.t + 1) / (total.t + v)) as t
+  from c2 join c1 using (w) join ch using (h) cross join total),
+doc as (select doc_id, count(*) as n, sum(loss.t) as t, sum(loss.b) as b from bi join loss on loss.h = bi.h and loss.w = bi.w group by doc_id)
+select d.doc_id, coalesce(n, 0) as n_tokens, round(t / n, 6) as target_loss, round(b / n, 6) as background_loss, round((t - b) / n, 6) as score
+from (select distinct doc_id from documents) d left join doc on doc.doc_id = d.doc_id"""
+)
+
+#: Diagonals of equal lines hold the repeated runs; of these, the shortest of 50 words that begin or end at a line are cut.
+LINES = r"""with l as (select doc_id, i, t, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) as k,
+  row_number() over (partition by doc_id order by i) - 1 as s from (select doc_id, i, trim(x[i + 1], ' ' || chr(9) || chr(13) || chr(11) || chr(12)) as t
+  from (select doc_id, x, unnest(range(0, len(x))) as i from (select doc_id, string_split(text, chr(10)) as x from documents where text is not null))) where t <> ''),
+c as (select *, sum(k) over (partition by doc_id order by s) as upto from l),
+twice as (select t from l group by t having count(*) > 1),
+h as (select c.* from c join twice using (t)),
+same as (select b.doc_id, b.s, a.doc_id as d2, b.s - a.s as gap from h a join h b on a.t = b.t and (a.doc_id < b.doc_id or (a.doc_id = b.doc_id and a.s < b.s))),
+run as (select doc_id, d2, gap, min(s) as s1, max(s) as s2 from (select *, s - row_number() over (partition by doc_id, d2, gap order by s) as g from same) group by doc_id, d2, gap, g),
+long as (select distinct r.doc_id, s1, s2 from run r join c x on x.doc_id = r.doc_id and x.s = s1 join c y on y.doc_id = r.doc_id and y.s = s2 where y.upto - x.upto + x.k >= 50),
+cand as (
+  select x.doc_id, x.s as p1, (select min(y.s) from c y where y.doc_id = x.doc_id and y.upto - x.upto + x.k >= 50) as p2 from c x where x.doc_id in (select doc_id from long)
+  union select y.doc_id, (select max(x.s) from c x where x.doc_id = y.doc_id and y.upto - x.upto + x.k >= 50), y.s from c y where y.doc_id in (select doc_id from long)),
+cut as (select distinct a.doc_id, x.i as i1, y.i as i2 from cand a join long r on r.doc_id = a.doc_id and r.s1 <= p1 and p2 <= r.s2
+  join c x on x.doc_id = a.doc_id and x.s = p1 join c y on y.doc_id = a.doc_id and y.s = p2),
+gone as (select distinct doc_id, unnest(range(i1, i2 + 1)) as i from cut),
+part as (select doc_id, min(i) as first, max(i) as last from (select doc_id, i, i - row_number() over (partition by doc_id order by i) as g from gone) group by doc_id, g),
+runs as (select doc_id, sum(last - first + 1) as n, string_agg(first || '-' || last, ',' order by first) as runs from part group by doc_id),
+kept as (select doc_id, string_agg(x[i + 1], chr(10) order by i) as text, count(*) as n from (select doc_id, x, unnest(range(0, len(x))) as i from (select doc_id, string_split(text, chr(10)) as x from documents where text is not null)) k
+  where not exists (select 1 from gone g where g.doc_id = k.doc_id and g.i = k.i) group by doc_id)
+select d.doc_id, case when d.text is null then null else greatest(coalesce(kept.n, 0), 1) end as n_lines, cast(coalesce(runs.n, 0) as bigint) as n_deleted, coalesce(runs.runs, '') as deleted_runs,
+case when d.text is null then null else coalesce(kept.text, '') end as text from documents d left join runs on runs.doc_id = d.doc_id left join kept on kept.doc_id = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_ngram_jaccard": JACCARD, "op8_lm_scoring": LOSSES, "op9_line_dedup": LINES}

@@ -1,5 +1,8 @@
 import random
 
+import duckdb
+import pytest
+
 import corpus_pipeline
 from cladeflow.functions.staging import stage
 from cladeflow.llm.queries import oracle_sql, queries
@@ -62,6 +65,18 @@ def test_stages_on_odd_rows(spark):
         assert empty.count() == 0 and (k == 4 or empty.columns == SCHEMA.replace("`", "").replace(" long", "").replace(" string", "").replace(" int", "").split(", "))
 
 
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_queries_match_sql(spark, name):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    want = con.sql(oracle_sql()[name]).df()
+    got = queries()[name](spark, sf).toPandas()[list(want.columns)]
+    rows = lambda t: sorted(map(repr, ([getattr(v, "item", lambda v=v: v)() for v in r] for r in t.itertuples(index=False, name=None))))
+    assert rows(got) == rows(want)
+
+
 def test_names():
     names = sorted(int(k[2:].split("_")[0]) for k in queries())
     assert names == list(range(1, 11)) and set(oracle_sql()) <= set(queries())
