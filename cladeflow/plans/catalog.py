@@ -211,9 +211,36 @@ def run_stats(spark: SparkSession, d: str) -> DataFrame:
     return orthogroups.run_statistics(corpus.genes(spark, d), e, g, orthogroups.single_copy(g, 20, 0.05))
 
 
+def count_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of a count file, with its header at -1."""
+    return sinks.count_lines(gene_count_matrix(spark, d), ["A", "N", "R"])
+
+
+def group_fasta(spark: SparkSession, d: str) -> DataFrame:
+    """Each group's sequences under ``collection|record``, as one digest; a document's sequence is its letters."""
+    seqs = table(spark, d, "documents").select(F.col("source").alias("taxon"), F.col("doc_id").alias("name"), F.regexp_replace("text", "[^A-Za-z]", "").alias("seq"))
+    fasta = orthogroups.fasta_payload(_component_groups(spark, d), seqs, orthogroups.taxon_header())
+    return fasta.select("og_idx", F.md5("fasta").alias("digest"))
+
+
 # ---------------------------------------------------------------- whole runs on files
 
 
+def edge_list_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The network, written as a list of edges and read back."""
+    path = f"{shared_dir(spark)}/cladeflow/edges-{uuid.uuid4().hex}"
+    sinks.write_text(sinks.edge_lines(corpus.edges(spark, d)), path)
+    return _rounded(files.edge_list(spark, path), "weight")
+
+
+def cluster_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Connected components, written one a line and read back with their least name."""
+    path = f"{shared_dir(spark)}/cladeflow/clusters-{uuid.uuid4().hex}"
+    members = connected(spark, d).groupBy("component").agg(F.array_join(F.collect_list(F.col("node").cast("string")), "\t").alias("value"))
+    sinks.write_text(members.select("value"), path)
+    return files.cluster_file(spark, path)
+
+
 def _record(c: Column) -> Column:
     return F.concat(F.lit("d"), F.lpad(c.cast("string"), 12, "0"))
 
@@ -278,7 +305,7 @@ def resumed_run(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (scan_genes, dup_id_check, taxon_pairs, search_plan, kmer_occurrences, candidate_hits, filter_evalue, merge_lengths, norm_score, best_hit, best_hit_parts, reciprocal_best_hits, pair_correction, gene_threshold, edges, edge_list_tsv, mcl_converged, mcl_round, singletons, component_groups, orthogroup_lines, gene_count_long, gene_count_matrix, single_copy, single_copy_headers, fasta_wrap70, og_names_compat, run_stats, fasta_scan, search_table_scan, resumed_run)
+    own = (scan_genes, dup_id_check, taxon_pairs, search_plan, kmer_occurrences, candidate_hits, filter_evalue, merge_lengths, norm_score, best_hit, best_hit_parts, reciprocal_best_hits, pair_correction, gene_threshold, edges, edge_list_tsv, mcl_converged, mcl_round, singletons, component_groups, orthogroup_lines, gene_count_long, gene_count_matrix, single_copy, single_copy_headers, fasta_wrap70, og_names_compat, run_stats, count_lines, group_fasta, edge_list_scan, cluster_scan, fasta_scan, search_table_scan, resumed_run)
     return {f.__name__: f for f in own} | {"connected_components": connected}
 
 
@@ -344,6 +371,11 @@ m2 as (select a.i, b.j, pow(sum(a.v * b.v), 1.5) as v from m1 a join m1 b on a.j
 select i, j, round(v / sum(v) over (partition by j), 5) as v from m2""",
         "mcl_converged": _markov(CHAIN) + " select node, cluster from comp",
         "orthogroup_lines": _markov(CHAIN) + "," + NUMBERED + "select og.og_idx, og_label || ': ' || string_agg(cast(name as varchar), ' ' order by name) as value from og join label on label.og_idx = og.og_idx group by og.og_idx, og_label",
+        "count_lines": "with m as (select cast(year(l_shipdate) as bigint) as y, count(*) filter (l_returnflag = 'A') as a, count(*) filter (l_returnflag = 'N') as n, count(*) filter (l_returnflag = 'R') as r from lineitem group by 1) select cast(-1 as bigint) as og_idx, 'files: A N R' as value union all select y, y || ': ' || a || ' ' || n || ' ' || r from m",
+        "group_fasta": GROUPED + """, line as (select og.og_idx, cast(regexp_extract(og.taxon, '(\\d+)', 1) as int) as ti, name, '>' || og.taxon || '|' || name || chr(10) || rtrim(regexp_replace(regexp_replace(d.text, '[^A-Za-z]', '', 'g'), '(.{70})', '\\1' || chr(10), 'g'), chr(10)) as t
+from og join documents d on d.doc_id = og.name) select og_idx, md5(string_agg(t, chr(10) order by ti, name) || chr(10)) as digest from line group by og_idx""",
+        "edge_list_scan": CHAIN + "select least(cast(src as varchar), cast(dst as varchar)) as src, greatest(cast(src as varchar), cast(dst as varchar)) as dst, round(weight, 6) as weight from edge",
+        "cluster_scan": REACH + "select cast(node as varchar) as node, min(cast(node as varchar)) over (partition by c) as cluster from (select node, min(seen) as c from reach group by node)",
         "fasta_scan": "select 'OG' || (doc_id // 100) || '.fa' as taxon, cast(row_number() over (partition by doc_id // 100 order by doc_id) - 1 as bigint) as rec_idx, 'd' || lpad(cast(doc_id as varchar), 12, '0') as name, length(s) as length, md5(s) as digest from (select doc_id, regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g') as s from documents)",
         "search_table_scan": CHAIN + """select 'OG' || (query // 100) || '.fa' as qt, 'OG' || (target // 100) || '.fa' as tt, 'd' || lpad(cast(query as varchar), 12, '0') as query, 'd' || lpad(cast(target as varchar), 12, '0') as target, cast(score as double) as score,
 cast(row_number() over (partition by query // 100, target // 100 order by target, query) - 1 as bigint) as line_no from hit where score >= 10""",
