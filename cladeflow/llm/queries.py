@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeflow.functions.staging import table
-from cladeflow.llm import ann, langid, license_scan, line_dedup, mixing, quality, sigtree, spm, tiff, xent
+from cladeflow.llm import ann, langid, license_scan, line_dedup, mixing, prefix_trie, quality, sanitise, sigtree, spm, tiff, whitening, xent
 
 #: Vocabulary files are found here; they are never copied into the repository.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -64,6 +64,18 @@ def op10_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.text_media_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"), rebuild=True)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise.pii_digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
@@ -76,6 +88,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_scoring": op8_lm_scoring,
         "op9_line_dedup": op9_line_dedup,
         "op10_tiff_pages": op10_tiff_pages,
+        "op11_prefix_trie": op11_prefix_trie,
+        "op12_whitening": op12_whitening,
+        "op13_sanitise": op13_sanitise,
     }
 
 
@@ -138,5 +153,64 @@ select d.doc_id, case when d.text is null then null else greatest(coalesce(kept.
 case when d.text is null then null else coalesce(kept.text, '') end as text from documents d left join runs on runs.doc_id = d.doc_id left join kept on kept.doc_id = d.doc_id"""
 
 
+#: Nodes by the whole text of their turns, and every node joined to all its ancestors.
+TRIE = """with t as (select conv_id, coalesce(role, '') as r, coalesce(text, '') as x,
+  row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as p from conversations where conv_id is not null),
+ids as (select c, xor(list_reduce(list_transform(string_split(cast(c as varchar), ''), lambda a: cast(ascii(a) as bigint)),
+  lambda s, b: list_reduce(range(8), lambda v, k: xor(v >> 1, 3988292384 * (v & 1)), xor(s, b)), cast(4294967295 as bigint)), 4294967295) % 9 as h from (select distinct conv_id as c from t)),
+b as (select c, p as k, r, x from ids join t on t.conv_id = c - c % 5 and p <= h union all select c, 9 + p, r, x from ids join t on t.conv_id = c and p > h),
+d as (select c, row_number() over (partition by c order by k) as d, r, x from b),
+pre as (select c, d, string_agg(strlen(r) || ':' || r || strlen(x) || ':' || x, '') over (partition by c order by d) as key, strlen(x) as n from d union all select c, 0, '', 0 from ids),
+last as (select c, max(d) as m from pre group by c),
+node as (select d, key, min(c) as id, count(*) as n, any_value(n) as size, string_agg(cast(c as varchar), ',' order by c) filter (d = m) as ends from pre join last using (c) group by d, key),
+up as (select v.id, v.d, v.n, v.size, a.id as aid, a.d as ad from node v join pre on pre.c = v.id and pre.d <= v.d join node a on a.d = pre.d and a.key = pre.key),
+kids as (select aid, ad, count(*) as n from up where ad = d - 1 group by 1, 2),
+sums as (select up.aid, up.ad, sum((up.n - 1) * size) as saved, count(*) filter (kids.n is null) as leaves from up left join kids on kids.aid = up.id and kids.ad = up.d group by 1, 2)
+select v.id as conv_id, v.d as depth, p.aid as parent_conv_id, v.n as n_convs, coalesce(kids.n, 0) as n_children, leaves as n_leaves, cast(saved as bigint) as saved_tokens, sha256(coalesce(ends, '')) as ends_sha256
+from node v join sums on sums.aid = v.id and sums.ad = v.d left join kids on kids.aid = v.id and kids.ad = v.d left join up p on p.id = v.id and p.d = v.d and p.ad = v.d - 1"""
+
+
+def _found(kind: int, pattern: str) -> str:
+    return f"select rid, {kind} as kind, regexp_split_to_array(text, '{pattern}') as gaps, regexp_extract_all(text, '{pattern}') as found from d"
+
+
+def _strung(rows: str) -> str:
+    return f"select rid, string_agg(k || ':' || start || ':' || stop, ',' order by start, kind) as s from (select *, (['email', 'ip', 'card', 'phone', 'term'])[kind + 1] as k from {rows}) group by rid"
+
+
+LETTERS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]"
+LOWERED = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+#: Spans of the patterns; then terms by the tokens between the borders of an entity's context.
+SPANS = "\nunion all ".join([
+    _found(0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), _found(1, r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    _found(2, r"[0-9]([\x20-]?[0-9])+"), _found(3, r"\+[0-9][\x20().0-9-]+[0-9]"), _found(4, r"[^\x20\x09-\x0D]+"),
+])
+PERSONAL = f"""with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents),
+f as ({SPANS}),
+p as (select rid, kind, m, stop - length(m) as start, stop from (select *, sum(length(gap) + length(m)) over (partition by rid, kind order by i) as stop
+  from (select rid, kind, i, gaps[i] as gap, found[i] as m from (select *, unnest(range(1, len(found) + 1)) as i from f)))),
+e as (select *, case kind when 0 then translate(m, {LOWERED}) when 1 then m else regexp_replace(m, '[^0-9]', '', 'g') end as value from p where kind < 4),
+s as (select rid, kind, start, stop, kind || ':' || value as entity from e where case kind when 0 then true
+  when 1 then len(list_filter(string_split(m, '.'), lambda x: coalesce(try_cast(x as bigint), 256) > 255)) = 0
+  when 2 then length(value) between 12 and 19 and list_sum(list_transform(range(1, length(value) + 1), lambda i:
+    case when i % 2 = 1 then cast(value[length(value) + 1 - i] as int) else [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][cast(value[length(value) + 1 - i] as int) + 1] end)) % 10 = 0
+  else length(value) between 9 and 15 end),
+w as (select rid, start, stop, core, translate(core, {LOWERED}) as term, start + length(opened) as a from
+  (select rid, start, stop, regexp_extract(m, '^["''(\\[{{<]*({LETTERS}+)[.,;:!?)\\]}}>"'']*$', 1) as core, regexp_extract(m, '^["''(\\[{{<]*') as opened from p where kind = 4) where core <> ''),
+near as (select distinct s.rid, entity, term, a, a + length(core) as b from s join d using (rid) join w using (rid)
+  where (w.stop < s.start and (s.start < 128 or w.start > (s.start // 64 - 1) * 64))
+  or (w.start > s.stop and (w.stop < ((s.stop - 1) // 64 + 2) * 64 or ((s.stop - 1) // 64 + 2) * 64 >= length(d.text)))),
+known as (select entity, count(distinct rid) as n from s group by entity having n >= 2),
+pair as (select entity, term, count(distinct rid) as n from near where entity in (select entity from known) group by entity, term having count(distinct rid) >= 2),
+held as (select term, count(distinct rid) as n from w group by term), total as (select count(*) as n from d),
+told as (select entity, term from pair join known using (entity) join held using (term) cross join total
+  where known.n < total.n and 1 + log2(least(pair.n / held.n, 1)) / log2(total.n / known.n) >= 0.85),
+t as (select distinct rid, a as start, b as stop, 4 as kind from near join told using (entity, term)),
+base as ({_strung("s")}), every as ({_strung("(select rid, kind, start, stop from s union all select rid, kind, start, stop from t)")}),
+n as (select rid, count(*) filter (kind = 0) as e, count(*) filter (kind = 1) as i, count(*) filter (kind = 2) as c, count(*) filter (kind = 3) as p from s group by rid), m as (select rid, count(*) as n from t group by rid)
+select doc_id, coalesce(n.e, 0) as n_email, coalesce(n.i, 0) as n_ip, coalesce(n.c, 0) as n_card, coalesce(n.p, 0) as n_phone, sha256(coalesce(base.s, '')) as base_sha256, coalesce(every.s, '') as spans, coalesce(m.n, 0) as n_terms
+from d left join base using (rid) left join every using (rid) left join n using (rid) left join m using (rid)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_ngram_jaccard": JACCARD, "op8_lm_scoring": LOSSES, "op9_line_dedup": LINES}
+    return {"op5_ngram_jaccard": JACCARD, "op8_lm_scoring": LOSSES, "op9_line_dedup": LINES, "op11_prefix_trie": TRIE, "op13_sanitise": PERSONAL}
