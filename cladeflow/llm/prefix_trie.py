@@ -159,7 +159,7 @@ def trie(found: DataFrame) -> DataFrame:
     last text, and the SHA-256 of the ids of the conversations that end here.
     """
     found = stage(found, "prefixes")
-    nodes = found.groupBy("depth", "digest").agg(F.min("conv_id").alias("node"), F.count("*").alias("n"), F.sum("ends").alias("n_ends"))
+    nodes = stage(found.groupBy("depth", "digest").agg(F.min("conv_id").alias("node"), F.count("*").alias("n"), F.sum("ends").alias("n_ends")), "nodes")
     paths = stage(found.join(nodes.hint("merge"), ["depth", "digest"]).select("conv_id", "depth", "node", "n", "n_ends", "bytes", "ends"), "paths")
 
     # each path from its lower end up: what the nodes that it names send to the row's node
