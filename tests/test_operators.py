@@ -139,7 +139,7 @@ def test_native_search(spark):
     seq = "MKTAYIAKQRQISFVKSHFSRQLEERLGLIEVQAPILSRVGDGTQDNLSGAEKAVQVKVKALPDAQFEVV"
     rows = [("A", "a", seq), ("B", "b", seq[5:]), ("B", "c", "GGGGGGGGGGGG"), ("C", "d", seq)] + [("D", f"g{k}", seq[:20] + seq[k % 40 : k % 40 + 30]) for k in range(60)]
     table = spark.createDataFrame([(t, n, len(s), s) for t, n, s in rows], "taxon string, name string, length int, seq string")
-    for kw in ({}, {"common": 1, "seeds": 8}):  # common seeds drop no record's hits
+    for kw in ({}, {"common": 1}, {"exact": True}, {"band": 64}):  # common seeds drop no record's hits
         got = {(r.query, r.target): (r.score, r.evalue) for r in search.native(table, **kw).collect()}
         assert ("a", "b") in got and ("a", "c") not in got and got["a", "b"][0] == pytest.approx(got["b", "a"][0])
         assert got["a", "a"][0] == got["d", "a"][0] == got["a", "d"][0] and {q for q, _ in got} == {n for _, n, _ in rows}
