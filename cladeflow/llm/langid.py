@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cladeflow.llm.tokens import mix
+from cladeflow.llm.tokens import decoded, mix
 
 PER_LANG = 1500  # documents of a language in the fit's sample, about
 FIT_ROWS = 12_000  # of all languages together
@@ -142,7 +142,7 @@ def calibrate(logits: np.ndarray, labels: np.ndarray) -> float:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"), F.col(lang_col).cast("string").alias("lang"))
 
 
 def in_held_out() -> Column:
@@ -155,7 +155,7 @@ def document_frequencies(texts: DataFrame, dims: int) -> tuple[int, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(dims, np.int64), 0
         for b in batches:
-            for _, at, _ in counts(b["text"].to_pylist(), dims):
+            for _, at, _ in counts(decoded(b["text"]), dims):
                 df[at] += 1
                 n += 1
         at = np.flatnonzero(df)
@@ -182,7 +182,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, langs, ids = b["text"].to_pylist(), b["lang"].to_pylist(), b["doc_id"].to_pylist()
+            texts, langs, ids = decoded(b["text"]), b["lang"].to_pylist(), b["doc_id"].to_pylist()
             out = [(str(ids[i]), langs[i], at.astype(np.int32).tobytes(), n.astype(np.int32).tobytes()) for i, at, n in counts(texts, dims) if has_letter(texts[i])]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.binary(), pa.binary()), strict=True)], names=["id", "lang", "at", "n"])
@@ -204,12 +204,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, lang_pred, score) and the columns ``keep`` of every row."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"), *keep)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("_text"), *keep)
     spec = [rows.schema[c] for c in ("doc_id", *keep)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t or "" for t in b["_text"].to_pylist()]
+            texts = [t or "" for t in decoded(b["_text"])]
             lang, score = [UND] * len(texts), np.zeros(len(texts))
             if model:
                 for i, at, n in counts(texts, model.dims):

@@ -104,20 +104,28 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     sources = sources.withColumn("rest", F.col("goal") - F.col("passes") * F.col("source_size"))
     # the short block's slot in the last pass; if it comes in, one slot holds fewer words
     short = unpermuted(F.col("blocks") - 1, F.greatest("blocks", F.lit(1).cast("long")), seed, F.col("k"), F.col("passes"))
-    lack = F.when(short < F.ceil(F.col("rest") / block_tokens), F.col("blocks") * block_tokens - F.col("source_size")).otherwise(F.lit(0))
+    # where it is the last of them, only if it doesn't hold what that slot has to give
+    ahead = F.ceil(F.col("rest") / block_tokens) - 1
+    lack = F.col("blocks") * block_tokens - F.col("source_size")
+    lack = F.when((short < ahead) | ((short == ahead) & (F.col("rest") - ahead * block_tokens > block_tokens - lack)), lack).otherwise(F.lit(0))
     sources = sources.withColumn("words", F.when(F.col("rest") > 0, F.col("rest") + lack).otherwise(F.lit(0)))
     sources = sources.withColumn("part", F.ceil(F.col("words") / block_tokens).cast("long"))
     sources = stage(sources.withColumn("slots", F.col("passes") * F.col("blocks") + F.col("part")), "sources")
 
     # shards and draws
-    total = sources.agg(F.sum("slots").alias("total"), F.sort_array(F.collect_list(F.struct("k", F.col("target").alias("p")))).alias("mix"), F.sum("target").alias("all"))
-    shards = total.where("total > 0").select(F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / shard_slots))).alias("shard"), "mix", "all", "total").repartition("shard")
-    # a draw is the first source at which the running share exceeds the slot's uniform number
-    draws = shards.select("shard", "mix", "all", F.explode(F.sequence(F.lit(0), F.least(F.lit(shard_slots), F.col("total") - F.col("shard") * shard_slots).cast("int") - 1)).alias("draw"))
-    u = uniform("draw", F.col("shard"), F.col("draw"), seed) * F.col("all")
-    state = F.struct(F.lit(0.0).alias("sum"), F.lit(-1).alias("k"))
-    hit = F.aggregate("mix", state, lambda t, x: F.when((t["k"] >= 0) & (t["sum"] > F.col("u")), t).otherwise(F.struct((t["sum"] + x["p"]).alias("sum"), F.when(x["p"] > 0, x["k"]).otherwise(t["k"]).alias("k"))))
-    counts = draws.withColumn("u", u).select("shard", hit["k"].alias("k")).groupBy("k", "shard").agg(F.count("*").alias("n"))
+    # running shares, in a window over one row a source; a draw is the source whose interval holds
+    # the slot's uniform number, which is looked up by bucket: as many buckets as sources
+    order = Window.orderBy("k")
+    shares = sources.where("target > 0").withColumn("high", F.sum("target").over(order)).withColumn("low", F.coalesce(F.lag("high").over(order), F.lit(0.0)))
+    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    shares = shares.withColumns({"all": F.max("high").over(every), "buckets": F.count("*").over(every)})
+    total = shares.agg(F.sum("slots").alias("total"), F.max("all").alias("all"), F.max("buckets").alias("buckets"))
+    bucket = lambda x: F.least(F.floor(F.col(x) / F.col("all") * F.col("buckets")), F.col("buckets") - 1)
+    shares = shares.select("k", "low", F.when(F.col("high") < F.col("all"), F.col("high")).otherwise(float("inf")).alias("high"), F.explode(F.sequence(bucket("low"), bucket("high"))).alias("bucket"))
+    shards = total.where("total > 0").select(F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / shard_slots))).alias("shard"), "all", "total", "buckets").repartition("shard")
+    draws = shards.select("shard", "all", "buckets", F.explode(F.sequence(F.lit(0), F.least(F.lit(shard_slots), F.col("total") - F.col("shard") * shard_slots).cast("int") - 1)).alias("draw"))
+    draws = draws.withColumn("u", uniform("draw", F.col("shard"), F.col("draw"), seed) * F.col("all")).select("shard", "u", bucket("u").alias("bucket"))
+    counts = draws.join(shares, "bucket").where("low <= u and u < high").groupBy("k", "shard").agg(F.count("*").alias("n"))
     counts = stage(counts, "counts")
     # slots of a source before a shard: those of earlier ranges of shards, and those inside its range
     counts = counts.withColumn("range", F.floor(F.col("shard") / SHARDS))

@@ -21,7 +21,8 @@ to one length. Only a part of over ``LONGEST`` characters without such a place t
 sequential merge (or Viterbi), with the same results.
 
 Defined results: a null text has null ids, an empty one none; a character without a piece
-becomes its UTF-8 bytes' pieces, or the unknown piece where the model has no bytes.
+becomes its UTF-8 bytes' pieces, or the unknown piece where the model has no bytes; a byte
+that is no UTF-8 counts as U+FFFD, and the text doesn't come back.
 Decoding restores the text unless it holds the word mark U+2581 itself or characters that
 became the unknown piece. Each row has a row, repeated rows equal ones, empty tables none;
 columns other than those named play no part, whatever their names.
@@ -501,7 +502,7 @@ def load(spark: SparkSession, path: str) -> Model:
 
 def encode_column(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids, round_trip) of every row."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").cast("binary").alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -509,10 +510,10 @@ def encode_column(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
             for lo in range(0, b.num_rows, BATCH_ROWS):
                 part = b.slice(lo, BATCH_ROWS)
                 texts = part["_text"].to_pylist()
-                ids, bounds = model.encode([t or "" for t in texts])
+                ids, bounds = model.encode([(t or b"").decode("utf-8", "replace") for t in texts])
                 back = model.decode(ids, bounds)
                 null = np.array([t is None for t in texts])
-                same = [None if t is None else t.encode("utf-8", "surrogatepass") == r for t, r in zip(texts, back, strict=True)]
+                same = [None if t is None else t == r for t, r in zip(texts, back, strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()), mask=pa.array(null)) if len(texts) else pa.array([], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([part["_id"], pa.array(np.diff(bounds), pa.int64(), mask=null), lists, pa.array(same, pa.bool_())], names=["_id", "n_tokens", "ids", "round_trip"])
 

@@ -401,16 +401,16 @@ FORMS = {NONE: "none", LZW: "lzw", DEFLATE: "deflate", PACKBITS: "packbits"}
 def text_media_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Store each text as a TIFF, read the stored bytes back, and describe both.
 
-    A null text counts as empty; its payload is 192 blanks. One row per input row, whatever
+    A null text counts as empty; its payload is 192 blanks. Bytes count as they are, UTF-8 or not. One row per input row, whatever
     its id; other columns play no part, whatever their names.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for i, text in zip(b["doc_id"].to_pylist(), b["text"], strict=True):
-                data = (text.as_py() or "").encode()
+                data = text.as_py() or b""
                 media, size = text_to_tiff(data)
                 pages = list(read_pages(media))
                 back = b"".join(p[4] for p in pages)

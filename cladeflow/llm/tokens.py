@@ -62,6 +62,11 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
+def decoded(column: pa.Array) -> list[str | None]:
+    """The texts of a binary column; bytes that are no UTF-8 are replaced by U+FFFD."""
+    return [None if t is None else t.decode("utf-8", "replace") for t in column.to_pylist()]
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """Batches of few rows, so that what is made of long texts stays small."""
     for b in batches:

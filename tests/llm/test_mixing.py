@@ -64,3 +64,12 @@ def test_empty(spark):
     assert mixing.mix_digest(spark.createDataFrame([], SCHEMA)).count() == 0
     got = mixing.mix_digest(spark.createDataFrame([(1, None, "a", None)], SCHEMA)).collect()
     assert [(r["size"], r["target"], r["taken"]) for r in got] == [(0, 0.0, 0)]
+
+
+def test_every_rest_of_a_source(spark):
+    """Targets of 500 equal sources end anywhere in a block, also where the source's short block comes last."""
+    docs = spark.range(500 * 8).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (1 + F.col("id") % 400).cast("int")).alias("text"), F.format_string("s%03d", (F.col("id") / 8).cast("int")).alias("source"), F.lit("x").alias("size"))
+    for block in (64, 17):
+        got = mixing.mix_digest(docs, block_tokens=block, shard_slots=64, seed=block)
+        got = got.withColumn("s", F.floor(F.col("doc_id") / 8)).groupBy("s").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max(F.col("taken") - 3 * F.col("size")).alias("over"))
+        assert got.where("abs(taken - target) > 1 or over > 0").count() == 0 and got.count() == 500
