@@ -75,6 +75,12 @@ def fasta_payload(groups: DataFrame, sequences: DataFrame, header: Column | None
     return rows.groupBy("og_idx").agg(F.concat(F.array_join(F.transform(lines, lambda x: x["t"]), "\n"), F.lit("\n")).alias("fasta"))
 
 
+def fasta_records(groups: DataFrame, sequences: DataFrame, header: Column | None = None) -> DataFrame:
+    """(file, header, seq, og_idx, taxon_idx, rec_idx): a row a record of each group, 70 columns wide."""
+    rows = groups.join(sequences.select("taxon", "name", "seq"), ["taxon", "name"])
+    return rows.select(F.concat(F.lit("OG"), F.col("og_idx").cast("string"), F.lit(".fa")).alias("file"), (header if header is not None else F.col("name").cast("string")).alias("header"), wrapped().alias("seq"), "og_idx", "taxon_idx", "rec_idx")
+
+
 def taxon_header() -> Column:
     """``collection|record`` without the file's extension."""
     bare = F.regexp_replace(F.coalesce("taxon", F.lit("UnknownSpecies")), r"\.(fa|faa|fas|fasta|pep|prot)$", "")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,10 +12,10 @@ from pyspark.sql import functions as F
 
 from cladeflow.functions import paths
 from cladeflow.functions.staging import shared_dir, stage, table
-from cladeflow.operators import components, mcl, orthogroups, scoring
+from cladeflow.operators import components, karlin, mcl, orthogroups, scoring, search, substitution
 from cladeflow.plans import corpus
 from cladeflow.plans.run import Config, run
-from cladeflow.sources import files, sinks
+from cladeflow.sources import fasta, files, sinks
 
 # The chain of common table expressions that the SQL of the documents shares.
 CHAIN = r"""
@@ -82,8 +83,6 @@ def taxon_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def search_plan(spark: SparkSession, d: str) -> DataFrame:
-    from cladeflow.operators import search
-
     return search.commands(taxon_pairs(spark, d), "phmmer", "in", "out")
 
 
@@ -106,6 +105,33 @@ def merge_lengths(spark: SparkSession, d: str) -> DataFrame:
     return corpus.merged(spark, d).select("query", "target", "score", F.col("len_q").cast("long").alias("len_q"), F.col("len_t").cast("long").alias("len_t"))
 
 
+def hit_evalues(spark: SparkSession, d: str) -> DataFrame:
+    """Bits and E-values of the hits, their scores taken as raw ones under BLOSUM62 without gaps; a space is a collection's shingles."""
+    space = corpus.genes(spark, d).groupBy(F.col("taxon").alias("tt")).agg(F.sum("length").alias("space"))
+    rows = karlin.with_evalues(corpus.merged(spark, d).withColumnRenamed("score", "raw").join(space, "tt"), ungapped(), "len_q")
+    return rows.select("query", "target", F.round("score", 6).alias("bits"), F.round(F.log10(F.greatest("evalue", F.lit(1e-300))), 6).alias("log_evalue"))
+
+
+def ungapped() -> karlin.Statistics:
+    return karlin.ungapped(substitution.residues("BLOSUM62"))
+
+
+#: Of the search over documents' letters: the first length of a seed, the most documents of one, and the diagonals of a band.
+SEED, COMMON, BAND = 16, 20, 64
+
+
+def native_seeds(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of unlike documents by their seeds; equal letters are one class, named by the smallest doc_id."""
+    classes = stage(corpus.letters(spark, d).groupBy("seq").agg(F.min("name").alias("id")), "classes")
+    return search.seed_pairs(search.seeds(classes, SEED, COMMON, groups=None))
+
+
+def native_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Hits of the native search over documents' letters, aligned around the diagonals of their seeds."""
+    hits = search.native(corpus.letters(spark, d), SEED, common=COMMON, groups=None, band=BAND)
+    return _rounded(hits.select("qt", "tt", "query", "target", "score", F.log10(F.greatest("evalue", F.lit(1e-300))).alias("log_evalue")), "score", "log_evalue")
+
+
 def norm_score(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(corpus.norm_hits(spark, d).select("query", "target", "s"), "s")
 
@@ -267,6 +293,23 @@ def fasta_scan(spark: SparkSession, d: str) -> DataFrame:
     return files.sequences(spark, written(spark, d)).select("taxon", "rec_idx", "name", F.col("length").cast("long").alias("length"), F.md5("seq").alias("digest"))
 
 
+def fasta_source(spark: SparkSession, d: str) -> DataFrame:
+    """Documents' letters, written as sequence files and read back through the data source, a partition each 64 KB."""
+    rows = fasta.read(spark, written(spark, d), split=1 << 16)
+    rows = files.numbered_records(rows, "taxon", "offset")
+    return rows.select("taxon", "rec_idx", "name", F.col("length").cast("long").alias("length"), F.md5("seq").alias("digest"))
+
+
+def group_files(spark: SparkSession, d: str) -> DataFrame:
+    """The files of groups as the data source writes them: each one's records and a digest of its bytes."""
+    folder = f"{shared_dir(spark)}/cladeflow/groups-{uuid.uuid4().hex}"
+    seqs = table(spark, d, "documents").select(F.col("source").alias("taxon"), F.col("doc_id").alias("name"), F.regexp_replace("text", "[^A-Za-z]", "").alias("seq"))
+    fasta.write(orthogroups.fasta_records(_component_groups(spark, d), seqs, orthogroups.taxon_header()), folder, "taxon_idx", "rec_idx")
+    found = fasta.read(spark, folder, "taxon string").groupBy(F.col("taxon").alias("file")).agg(F.count("*").alias("n"))
+    whole = spark.read.format("binaryFile").load(f"{folder}/*.fa").select(F.col("_metadata.file_name").alias("file"), F.md5("content").alias("digest"))
+    return found.join(whole, "file")
+
+
 def _tables(spark: SparkSession, d: str, folder: str) -> DataFrame:
     """Writes the hits of the documents as search tables, one for each two files that have some; the hits."""
     hit = corpus.hits(spark, d).where(F.col("score") >= corpus.MIN_SCORE)
@@ -305,7 +348,7 @@ def resumed_run(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (scan_genes, dup_id_check, taxon_pairs, search_plan, kmer_occurrences, candidate_hits, filter_evalue, merge_lengths, norm_score, best_hit, best_hit_parts, reciprocal_best_hits, pair_correction, gene_threshold, edges, edge_list_tsv, mcl_converged, mcl_round, singletons, component_groups, orthogroup_lines, gene_count_long, gene_count_matrix, single_copy, single_copy_headers, fasta_wrap70, og_names_compat, run_stats, count_lines, group_fasta, edge_list_scan, cluster_scan, fasta_scan, search_table_scan, resumed_run)
+    own = (scan_genes, dup_id_check, taxon_pairs, search_plan, kmer_occurrences, candidate_hits, filter_evalue, merge_lengths, hit_evalues, native_seeds, native_hits, norm_score, best_hit, best_hit_parts, reciprocal_best_hits, pair_correction, gene_threshold, edges, edge_list_tsv, mcl_converged, mcl_round, singletons, component_groups, orthogroup_lines, gene_count_long, gene_count_matrix, single_copy, single_copy_headers, fasta_wrap70, og_names_compat, run_stats, count_lines, group_fasta, edge_list_scan, cluster_scan, fasta_scan, fasta_source, group_files, search_table_scan, resumed_run)
     return {f.__name__: f for f in own} | {"connected_components": connected}
 
 
@@ -343,8 +386,32 @@ label as (select og_idx, 'OG' || lpad(cast(og_idx as varchar), cast(greatest(len
 GROUPED += NUMBERED
 
 
+RECORDS = "select 'OG' || (doc_id // 100) || '.fa' as taxon, cast(row_number() over (partition by doc_id // 100 order by doc_id) - 1 as bigint) as rec_idx, 'd' || lpad(cast(doc_id as varchar), 12, '0') as name, length(s) as length, md5(s) as digest from (select doc_id, regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g') as s from documents)"
+
+
+def _seeds() -> str:
+    """Words at each place by length; those that are too common go on to the next length."""
+    lengths = [math.ceil(SEED * x) for x in search.LEVELS]
+    step = [f"""with s as (select seq, min(doc_id) as id from (select doc_id, upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) as seq from documents) where seq <> '' group by seq),
+w0 as (select id, p, """ + ", ".join(f"substr(seq, p + 1, {n}) as h{k}" for k, n in enumerate(lengths)) + f" from (select id, seq, unnest(range(0, greatest(length(seq) - {SEED}, 0) + 1)) as p from s))"]
+    for k in range(len(lengths)):
+        limit = f"where n <= {COMMON}" if k + 1 < len(lengths) else ""
+        step.append(f"""c{k} as (select id, h{k}, min(p) as p from w{k} group by id, h{k}), n{k} as (select h{k}, count(*) as n from c{k} group by h{k} having count(*) > 1),
+k{k} as (select id, p, '{k}' || h{k} as seed from c{k} join n{k} using (h{k}) {limit}),
+w{k + 1} as (select w{k}.* from w{k} join n{k} using (h{k}) where n > {COMMON})""")
+    step.append("seed as (" + " union all ".join(f"select * from k{k}" for k in range(len(lengths))) + ")")
+    return ",\n".join(step) + f""",
+bins as (select a.id as a, b.id as b, floor((b.p - a.p) / {search.NEAR}) as bin, count(*) as n, sum(b.p - a.p) as t from seed a join seed b on a.seed = b.seed and a.id < b.id group by all),
+near as (select a, b, bin, sum(n) as n, sum(t) as t from (select a, b, bin, n, t from bins union all select a, b, bin + 1, n, t from bins) group by a, b, bin)
+select a, b, cast(n as bigint) as shared, cast(floor(t / n) as bigint) as diagonal from (select *, row_number() over (partition by a, b order by n desc, bin) as k from near where n >= 2) where k = 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "native_seeds": _seeds(),
+        "hit_evalues": CHAIN + f""", space as (select taxon, sum(length) as n from gene group by taxon)
+select query, target, round(bits, 6) as bits, round(log10(greatest(cast(len as double) * n * pow(2, -bits), 1e-300)), 6) as log_evalue from
+(select query, target, q.length as len, space.n, (score * {ungapped().rate!r} - {math.log(ungapped().kappa)!r}) / {math.log(2)!r} as bits from hit h join gene q on q.name = h.query join space on space.taxon = h.tt)""",
         "scan_genes": CHAIN + "select taxon, name, length from gene",
         "dup_id_check": "select l_orderkey as taxon, l_partkey as name, count(*) as n from lineitem group by all having count(*) > 1",
         "taxon_pairs": "select a.n_name as qt, b.n_name as tt from nation a cross join nation b",
@@ -374,9 +441,12 @@ select i, j, round(v / sum(v) over (partition by j), 5) as v from m2""",
         "count_lines": "with m as (select cast(year(l_shipdate) as bigint) as y, count(*) filter (l_returnflag = 'A') as a, count(*) filter (l_returnflag = 'N') as n, count(*) filter (l_returnflag = 'R') as r from lineitem group by 1) select cast(-1 as bigint) as og_idx, 'files: A N R' as value union all select y, y || ': ' || a || ' ' || n || ' ' || r from m",
         "group_fasta": GROUPED + """, line as (select og.og_idx, cast(regexp_extract(og.taxon, '(\\d+)', 1) as int) as ti, name, '>' || og.taxon || '|' || name || chr(10) || rtrim(regexp_replace(regexp_replace(d.text, '[^A-Za-z]', '', 'g'), '(.{70})', '\\1' || chr(10), 'g'), chr(10)) as t
 from og join documents d on d.doc_id = og.name) select og_idx, md5(string_agg(t, chr(10) order by ti, name) || chr(10)) as digest from line group by og_idx""",
+        "group_files": GROUPED + """, line as (select og.og_idx, cast(regexp_extract(og.taxon, '(\\d+)', 1) as int) as ti, name, '>' || og.taxon || '|' || name || chr(10) || rtrim(regexp_replace(regexp_replace(d.text, '[^A-Za-z]', '', 'g'), '(.{70})', '\\1' || chr(10), 'g'), chr(10)) as t
+from og join documents d on d.doc_id = og.name) select 'OG' || og_idx || '.fa' as file, count(*) as n, md5(string_agg(t, chr(10) order by ti, name) || chr(10)) as digest from line group by og_idx""",
         "edge_list_scan": CHAIN + "select least(cast(src as varchar), cast(dst as varchar)) as src, greatest(cast(src as varchar), cast(dst as varchar)) as dst, round(weight, 6) as weight from edge",
         "cluster_scan": REACH + "select cast(node as varchar) as node, min(cast(node as varchar)) over (partition by c) as cluster from (select node, min(seen) as c from reach group by node)",
-        "fasta_scan": "select 'OG' || (doc_id // 100) || '.fa' as taxon, cast(row_number() over (partition by doc_id // 100 order by doc_id) - 1 as bigint) as rec_idx, 'd' || lpad(cast(doc_id as varchar), 12, '0') as name, length(s) as length, md5(s) as digest from (select doc_id, regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g') as s from documents)",
+        "fasta_scan": RECORDS,
+        "fasta_source": RECORDS,
         "search_table_scan": CHAIN + """select 'OG' || (query // 100) || '.fa' as qt, 'OG' || (target // 100) || '.fa' as tt, 'd' || lpad(cast(query as varchar), 12, '0') as query, 'd' || lpad(cast(target as varchar), 12, '0') as target, cast(score as double) as score,
 cast(row_number() over (partition by query // 100, target // 100 order by target, query) - 1 as bigint) as line_no from hit where score >= 10""",
         "resumed_run": _markov(FILED) + "," + NUMBERED.replace("cast(regexp_extract(g.taxon, '(\\d+)', 1) as int)", "g.taxon").replace("then ti else 0", "then ti else ''") + "select og_label || ': ' || string_agg(name, ' ' order by name) as value from og join label on label.og_idx = og.og_idx group by og.og_idx, og_label",

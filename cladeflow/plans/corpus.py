@@ -78,5 +78,11 @@ def clusters(spark: SparkSession, d: str) -> DataFrame:
     return staged(spark, d, "clusters", lambda: mcl.markov_clusters(edges(spark, d)))
 
 
+def letters(spark: SparkSession, d: str) -> DataFrame:
+    """(taxon, name, seq): a document's letters in upper case, as a sequence; documents without letters are left out."""
+    seq = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
+    return table(spark, d, "documents").select(F.col("source").alias("taxon"), F.col("doc_id").alias("name"), seq.alias("seq")).where("seq <> ''")
+
+
 def groups(spark: SparkSession, d: str) -> DataFrame:
     return orthogroups.orthogroups(genes(spark, d), clusters(spark, d))
