@@ -169,15 +169,21 @@ def _search(dims: int, k: int, turn: np.ndarray, mid: np.ndarray):
 
 
 def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", *, k: int = 20, every: int = 20, seed: int = 0) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest of each row whose id is divisible by ``every``."""
-    spark = df.sparkSession
-    empty = "query_id long, rank int, vec_id long, score double"
-    rows = usable(df, id_col, vec_col).distinct()
-    common = rows.groupBy("n").count().orderBy(F.desc("count"), "n").first()
-    if common is None:
-        return spark.createDataFrame([], empty)
-    dims = common["n"]
-    rows, total = stage_counted(rows.where(F.col("n") == dims).drop("n"), "vectors")
+    """(query_id, rank, vec_id, score): the k nearest of each row whose id is divisible by ``every``.
+
+    Vectors of different lengths have no inner product; those of each length are searched apart.
+    """
+    rows = stage(usable(df, id_col, vec_col).distinct(), "usable")
+    lengths = [r["n"] for r in rows.groupBy("n").count().where("count > 1").orderBy("n").collect()]  # a row a length
+    out = df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for dims in lengths:
+        out = out.unionByName(_of_length(rows.where(F.col("n") == dims).drop("n"), dims, k, every, seed))
+    return out
+
+
+def _of_length(rows: DataFrame, dims: int, k: int, every: int, seed: int) -> DataFrame:
+    """The search among vectors of one length."""
+    rows, total = stage_counted(rows, "vectors")
     sample = rows.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(SAMPLE).toArrow()
     ids, sampled = sample["vec_id"].to_numpy(), matrix(sample["v"].combine_chunks(), dims)
     mid, turn = centres(sampled, min(CENTRES, max(16, int(total**0.5 / 8))), seed), rotation(dims, seed)

@@ -133,6 +133,19 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return joined.groupBy("d", "v").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
 
 
+def _kept(lines: Column, runs: Column) -> Column:
+    """The lines between runs that are in order and apart: each line is looked at once, whatever the number of runs."""
+
+    def between(a: Column, first: Column, last: Column) -> Column:
+        return F.when(first <= last, F.transform(F.sequence(first, last), lambda j: F.get(a, j))).otherwise(F.array().cast("array<string>"))
+
+    def kept(a: Column) -> Column:
+        after = lambda i: F.when(i > 0, F.get(runs, i - 1)["last"] + 1).otherwise(F.lit(0))
+        return F.flatten(F.concat(F.transform(runs, lambda r, i: between(a, after(i), r["first"] - 1)), F.array(between(a, after(F.size(runs)), F.size(a) - 1))))
+
+    return F.get(F.transform(F.array(lines), kept), F.lit(0))  # the lines are split once
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, runs_col: str | None = "deleted_runs") -> DataFrame:
     """``docs`` with later copies of repeated runs cut out of the text, and ``runs_col`` with what was cut.
 
@@ -144,7 +157,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = stage(found, "deleted").hint("merge")  # the deletions grow with the input, so they are never broadcast
     rows = docs.select(*[docs[c].alias(k) for c, k in zip(names, kept, strict=True)], docs[id_col].alias("_id"), docs[text_col].alias("_text")).withColumn("_h", F.xxhash64("_text"))
     out = rows.join(found, (F.col("_id") == F.col("_d")) & (F.col("_h") == F.col("_v")), "left")
-    lines = F.filter(F.split("_text", "\n", -1), lambda x, i: ~F.exists("_runs", lambda r: (r["first"] <= i) & (i <= r["last"])))
-    text = F.when(F.col("_runs").isNull(), F.col("_text")).otherwise(F.array_join(lines, "\n"))
+    text = F.when(F.col("_runs").isNull(), F.col("_text")).otherwise(F.array_join(_kept(F.split("_text", "\n", -1), F.col("_runs")), "\n"))
     cut = [F.coalesce("_runs", F.array().cast("array<struct<first:int,last:int>>")).alias(runs_col)] if runs_col else []
     return out.select(*[text.alias(c) if c == text_col else F.col(k).alias(c) for c, k in zip(names, kept, strict=True)], *cut)

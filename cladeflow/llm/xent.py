@@ -19,8 +19,9 @@ them; a frequent bigram costs two or three bytes a document. The losses of a doc
 log(c(h) + MU) once for its start and each of its words, which are its tokens again (as
 many starts as end marks), so that a token's own partition adds it and no unigram count is
 needed elsewhere. Bigrams of a word that would fill a partition are dealt by both words;
-only the counts of such words (at most 20 for each ``PARTITION_TOKENS``), the unknown word
-and the end mark go to every task. The sums go back to the batch of documents they came
+only the counts of such words (at most 20 for each ``PARTITION_TOKENS``, and ``MOST_DEALT`` in
+all, since a word is one of them only if it is more than that part of all tokens), the unknown
+word and the end mark go to every task. The sums go back to the batch of documents they came
 from, two numbers a document and partition. First words are told apart by 32 bits of their
 hash, among those before one second word.
 
@@ -49,6 +50,7 @@ from cladeflow.llm.tokens import mix, words
 MU = 100.0
 BATCH_ROWS = 2_500  # places in a batch must fit 16 bits
 PARTITION_TOKENS = 3_000_000  # about the tokens of one part, whatever the input
+MOST_DEALT = 1_000_000  # words whose counts go to every task, at most
 BROADCAST_IDS = 500_000  # target documents of whose ids a copy goes to every task; beyond, texts are joined by merge
 END, UNKNOWN = np.uint64(0), np.uint64(1)  # as words; END as a history is the start
 
@@ -115,7 +117,7 @@ def unigrams(rows: DataFrame, vocabulary: int | None) -> Unigrams:
     total = counts.agg(F.sum("n"), F.sum("target"), F.count_if(F.col("word") != int(END))).first()
     n, target, distinct = total[0] or 0, total[1] or 0, total[2]
     texts = counts.where(F.col("word") == int(END)).select("n", "target").first() or (0, 0)
-    least, known, unknown = PARTITION_TOKENS // 20, None, (0, 0)
+    least, known, unknown = max(PARTITION_TOKENS // 20, n // MOST_DEALT), None, (0, 0)
     if vocabulary is not None and vocabulary < distinct:
         got = some.orderBy(F.desc("n"), "word").limit(vocabulary).toArrow()
         known = np.sort(np.append(got["word"].to_numpy().view(np.uint64), (END, UNKNOWN)))

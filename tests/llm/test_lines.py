@@ -63,3 +63,13 @@ def test_edge_cases(spark):
     got = sorted(((r.doc_id or 0, r.text) for r in out.collect()), key=repr)
     assert got == sorted([(1, passage), (2, "own\nmore"), (2, "own\nmore"), (3, None), (4, ""), (0, passage), (5, "own")], key=repr)
     assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_many_runs_in_one_text(spark):
+    """Deleting takes time in proportion to the lines, and not to lines times runs."""
+    passage = [[f"{k} passage {j} of several words that come again" for j in range(2)] for k in range(3000)]
+    first = "\n".join(x for p in passage for x in [*p, f"own {p[0]}"])
+    later = "\n".join(x for k, p in enumerate(passage) for x in [f"new {k}", *p])
+    docs = spark.createDataFrame([(1, first), (2, later)], "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs, min_words=10).collect()}
+    assert got[1].text == first and got[2].text == "\n".join(f"new {k}" for k in range(3000)) and len(got[2].deleted_runs) == 3000

@@ -143,3 +143,16 @@ def test_repeated_vectors_and_queries(spark):
     got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     mine = [(r.query_id, r["rank"], r.vec_id) for r in got if r.query_id == 20]
     assert sorted(mine)[:3] == [(20, 1, 0), (20, 2, 1), (20, 3, 2)] and {r.query_id for r in got} == {0, 20}
+
+
+def test_each_length_is_searched_apart(spark):
+    rng = np.random.default_rng(4)
+    vectors = {i: rng.normal(size=6 if i % 3 else 9).tolist() for i in range(90)} | {100: [1.0], 101: [0.0, 1.0]}
+    got = ann.nearest(spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<float>"), k=4)
+    want = {}
+    for q in range(0, 90, 20):
+        a = np.float32(vectors[q]).astype(float)
+        scored = sorted((-float(a @ np.float32(v).astype(float)), i) for i, v in vectors.items() if i != q and len(v) == len(a))
+        want[q] = [i for _, i in scored[:4]]
+    rows = sorted((r.query_id, r["rank"], r.vec_id) for r in got.collect())
+    assert rows == sorted((q, k + 1, v) for q, near in want.items() for k, v in enumerate(near))
