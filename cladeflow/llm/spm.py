@@ -37,17 +37,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeflow.llm.tokens import BASE, INVERSE, mix, powers
+from cladeflow.llm.tokens import BASE, INVERSE, mix, pieces, powers
 
 MARK = 0x2581
 LONG = 48
 LONGEST = 4096
 CHUNK_CHARS = 1_000_000
 KNOWN_WORDS = 500_000  # distinct words that a Python worker remembers between batches
-BATCH_ROWS = 500
+BATCH_BYTES = 3_000_000  # of texts that are encoded together, unless one text is longer
 SLOTS = 20  # bits of the index into the tables of piece keys
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -314,22 +315,29 @@ class Model:
         last = np.full((n + 1, w), -1, np.int64)
         back = np.ones((n + 1, w), np.int64)
         total = np.zeros((n + 1, w))
+        # the pieces of each length at all places, by one probe a length
+        arcs, some = [], []
+        for k in range(1, min(n, self.longest) + 1):
+            at, hit = self.probe(mix((sums[k:] - sums[:-k]) * powers(INVERSE, n)[: n - k + 1, None]).ravel())
+            arcs.append(np.where(hit, self.ids[at], -1).astype(np.int32).reshape(n - k + 1, w))
+            some.append(hit.reshape(n - k + 1, w).any(axis=1))
         for i in range(1, n + 1):
+            if self.kind == BPE:  # of the admissible arcs that end here the longest counts
+                for k in range(1, min(i, self.longest) + 1):
+                    if some[k - 1][i - k]:
+                        token = arcs[k - 1][i - k]
+                        own = np.flatnonzero(token >= 0)
+                        before, token = last[i - k][own], token[own].astype(np.int64)
+                        ok = before < 0
+                        check = np.flatnonzero(~ok)
+                        if len(check):
+                            ok[check] = self.follows(before[check], token[check])
+                        last[i, own[ok]], back[i, own[ok]] = token[ok], k
+                continue
             best = np.full(w, -np.inf)
             for k in range(1, min(i, self.longest) + 1):
-                h = mix((sums[i] - sums[i - k]) * powers(INVERSE, n)[i - k])
-                at, hit = self.probe(h)
-                token = np.where(hit, self.ids[at], -1)
-                if self.kind == UNIGRAM:
-                    score = total[i - k] + np.where(hit, self.scores[token], self.low - 10 if k == 1 else -np.inf)
-                else:
-                    ok = hit.copy()
-                    check = np.flatnonzero(hit & (last[i - k] >= 0)) if i > k else np.zeros(0, np.int64)
-                    if len(check):
-                        ok[check] = self.follows(last[i - k][check], token[check])
-                    if k == 1:
-                        ok |= ~hit
-                    score = np.where(ok, float(k), -np.inf)
+                token = arcs[k - 1][i - k]
+                score = total[i - k] + np.where(token >= 0, self.scores[token], self.low - 10 if k == 1 else -np.inf)
                 better = score > best
                 best = np.where(better, score, best)
                 last[i], back[i] = np.where(better, token, last[i]), np.where(better, k, back[i])
@@ -507,8 +515,9 @@ def encode_column(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, BATCH_ROWS):
-                part = b.slice(lo, BATCH_ROWS)
+            ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(b["_text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64))))
+            for lo, hi in pieces(ends, BATCH_BYTES):
+                part = b.slice(lo, hi - lo)
                 texts = part["_text"].to_pylist()
                 ids, bounds = model.encode([(t or b"").decode("utf-8", "replace") for t in texts])
                 back = model.decode(ids, bounds)
