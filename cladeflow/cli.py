@@ -21,6 +21,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-e", "--evalue", type=float, default=0.0001)
     p.add_argument("-x", "--substitution_matrix", choices=MATRICES, default="BLOSUM62")
     p.add_argument("--matrix_file", help="a matrix for the native search that takes the place of the named one")
+    p.add_argument("--profiles", action="store_true", help="let the native search score as a profile search does")
     p.add_argument("--exact", action="store_true", help="let the native search align all pairs of sequences")
     p.add_argument("-m", "--mcl", help="accepted and not needed: clustering runs on Spark")
     p.add_argument("-c", "--cpu", type=int, help="of one search; all there are by default")
