@@ -95,6 +95,11 @@ def candidate_hits(spark: SparkSession, d: str) -> DataFrame:
     return corpus.hits(spark, d).select("qt", "tt", "query", "target", "score")
 
 
+def candidate_hits_all(spark: SparkSession, d: str) -> DataFrame:
+    """The hits of shingles of any number of documents."""
+    return corpus.hits(spark, d, None).select("qt", "tt", "query", "target", "score")
+
+
 def filter_evalue(spark: SparkSession, d: str) -> DataFrame:
     e = F.col("len_q").cast("double") * F.col("len_t") * F.pow(F.lit(2.0), -F.col("score").cast("double"))
     hits = scoring.filter_hits(corpus.merged(spark, d).withColumn("evalue", e), 1e-4)
@@ -348,7 +353,7 @@ def resumed_run(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (scan_genes, dup_id_check, taxon_pairs, search_plan, kmer_occurrences, candidate_hits, filter_evalue, merge_lengths, hit_evalues, native_seeds, native_hits, norm_score, best_hit, best_hit_parts, reciprocal_best_hits, pair_correction, gene_threshold, edges, edge_list_tsv, mcl_converged, mcl_round, singletons, component_groups, orthogroup_lines, gene_count_long, gene_count_matrix, single_copy, single_copy_headers, fasta_wrap70, og_names_compat, run_stats, count_lines, group_fasta, edge_list_scan, cluster_scan, fasta_scan, fasta_source, group_files, search_table_scan, resumed_run)
+    own = (scan_genes, dup_id_check, taxon_pairs, search_plan, kmer_occurrences, candidate_hits, candidate_hits_all, filter_evalue, merge_lengths, hit_evalues, native_seeds, native_hits, norm_score, best_hit, best_hit_parts, reciprocal_best_hits, pair_correction, gene_threshold, edges, edge_list_tsv, mcl_converged, mcl_round, singletons, component_groups, orthogroup_lines, gene_count_long, gene_count_matrix, single_copy, single_copy_headers, fasta_wrap70, og_names_compat, run_stats, count_lines, group_fasta, edge_list_scan, cluster_scan, fasta_scan, fasta_source, group_files, search_table_scan, resumed_run)
     return {f.__name__: f for f in own} | {"connected_components": connected}
 
 
@@ -418,6 +423,7 @@ select query, target, round(bits, 6) as bits, round(log10(greatest(cast(len as d
         "search_plan": "select a.n_name as qt, b.n_name as tt, 'phmmer --mx BLOSUM62 --noali --notextw --cpu 1 --tblout out/' || a.n_name || '_2_' || b.n_name || '.phmmerout.txt in/' || a.n_name || ' in/' || b.n_name as command from nation a cross join nation b",
         "kmer_occurrences": CHAIN + "select doc_id, cast(sum(n) as bigint) as n_shingles, count(*) as n_distinct, max(n) as most from occ group by doc_id",
         "candidate_hits": CHAIN + "select qt, tt, query, target, score from hit",
+        "candidate_hits_all": CHAIN.replace("count(*) between 2 and 50", "count(*) >= 2") + "select qt, tt, query, target, score from hit",
         "filter_evalue": CHAIN + "select qt, tt, query, target, score from hit h join gene q on q.name = h.query join gene t on t.name = h.target where cast(q.length as double) * t.length * pow(2, -cast(score as double)) < 1e-4",
         "merge_lengths": CHAIN + "select query, target, score, q.length as len_q, t.length as len_t from hit h join gene q on q.name = h.query join gene t on t.name = h.target",
         "norm_score": CHAIN + "select query, target, round(s, 6) as s from norm",

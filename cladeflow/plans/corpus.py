@@ -5,7 +5,7 @@ documents: a record is a doc_id, its collection is its source, its length the nu
 target shares, over shingles of 2 to ``most`` documents. Hits of score 10 or more are kept.
 
 The tables that many queries begin with are staged once a session, as a run does, for the
-files they are made of; changed files make a new table.
+files they are made of; changed files, or a shared folder that was emptied, make a new table.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ _staged: dict[tuple, DataFrame] = {}
 def staged(spark: SparkSession, d: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     files = (paths.listed(spark, f"{d}/documents.parquet"), paths.listed(spark, f"{d}/documents.parquet/*"))
     key = (spark.sparkContext.applicationId, name, repr(files))
-    if key not in _staged:
+    if key not in _staged or not paths.finished(spark, _staged[key].staged_at):
         _staged[key] = stage(build(), name)
     return _staged[key]
 

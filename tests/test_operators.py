@@ -178,7 +178,7 @@ def test_count_header(spark):
     assert [r.value for r in sinks.count_lines(m, ["A", "B"]).orderBy("og_idx").collect()] == ["files: A B", "OG0: 1 0"]
 
 
-@pytest.mark.parametrize("name", ["edges", "gene_threshold", "component_groups", "run_stats", "fasta_wrap70", "best_hit_parts", "mcl_round", "mcl_converged", "orthogroup_lines", "fasta_scan", "search_table_scan", "resumed_run", "count_lines", "group_fasta", "edge_list_scan", "cluster_scan"])
+@pytest.mark.parametrize("name", ["edges", "gene_threshold", "component_groups", "run_stats", "fasta_wrap70", "best_hit_parts", "mcl_round", "mcl_converged", "orthogroup_lines", "fasta_scan", "search_table_scan", "resumed_run", "count_lines", "group_fasta", "edge_list_scan", "cluster_scan", "candidate_hits_all", "hit_evalues", "native_seeds", "fasta_source", "group_files"])
 def test_queries_match_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "lineitem", "part", "nation"):
