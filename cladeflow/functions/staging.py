@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -44,8 +44,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 def stage_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     """The staged table and its number of rows, counted while it is written."""
+    out, seen = stage_observed(df, name, n=F.count(F.lit(1)))
+    return out, seen["n"]
+
+
+def stage_observed(df: DataFrame, name: str, **aggregates: Column) -> tuple[DataFrame, dict]:
+    """The staged table and aggregates of its rows, taken while it is written."""
     seen = Observation()
-    return stage(df.observe(seen, F.count(F.lit(1)).alias("n")), name), seen.get["n"]
+    out = stage(df.observe(seen, *[c.alias(k) for k, c in aggregates.items()]), name)
+    return out, seen.get
 
 
 def unstage(*tables: DataFrame) -> None:

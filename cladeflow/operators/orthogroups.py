@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cladeflow.functions.staging import stage
@@ -28,7 +28,7 @@ def numbered(rows: DataFrame, name: str, *order: Column | str) -> DataFrame:
 
 
 def orthogroups(genes: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(og_idx, og_label, taxon, taxon_idx, rec_idx, name, length) of every record.
+    """(og_idx, og_label, size, taxon, taxon_idx, rec_idx, name, length) of every record; size is the group's.
 
     Clusters come first, by size downwards and then smallest member; singletons follow in
     collection and record order. Groups are numbered in ranges of that order, each range by
@@ -44,7 +44,7 @@ def orthogroups(genes: DataFrame, clusters: DataFrame) -> DataFrame:
     ranked = numbered(groups, "og_idx", *order)
     width = ranked.agg(F.length(F.count("*").cast("string")).alias("width"))
     ranked = ranked.join(F.broadcast(width)).withColumn("og_label", F.concat(F.lit("OG"), F.lpad(F.col("og_idx").cast("string"), F.greatest(F.col("width"), F.length(F.col("og_idx").cast("string"))), F.lit("0"))))
-    return member.join(ranked.select("alone", "cluster", "og_idx", "og_label"), ["alone", "cluster"]).drop("alone", "cluster")
+    return member.join(ranked.select("alone", "cluster", "og_idx", "og_label", "size"), ["alone", "cluster"]).drop("alone", "cluster")
 
 
 def gene_counts(groups: DataFrame) -> DataFrame:
@@ -87,6 +87,16 @@ def taxon_header() -> Column:
     return F.concat(bare, F.lit("|"), F.col("name"))
 
 
+#: Of a table of groups, whose numbers run from 0: what is counted while it is staged.
+GROUPED = {"groups": "coalesce(max(og_idx) + 1, 0)", "singletons": "count_if(size = 1)"}
+
+
+def counted_statistics(spark: SparkSession, n_genes: int, n_edges: int, grouped: dict, n_single: int) -> DataFrame:
+    """The row of ``run_statistics`` from what was counted when the tables were staged, without a further scan."""
+    row = (n_genes, n_edges, grouped["groups"], n_single, grouped["singletons"])
+    return spark.createDataFrame([row], "n_genes long, n_edges long, n_orthogroups long, n_single_copy long, n_singletons long")
+
+
 def run_statistics(genes: DataFrame, edges: DataFrame, groups: DataFrame, single: DataFrame) -> DataFrame:
     """One row: records, edges, groups, single-copy groups and singletons."""
     sizes = groups.groupBy("og_idx").agg(F.count("*").alias("n"))

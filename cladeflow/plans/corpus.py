@@ -32,6 +32,11 @@ def staged(spark: SparkSession, d: str, name: str, build: Callable[[], DataFrame
     return _staged[key]
 
 
+def forget() -> None:
+    """Tables are staged anew from here on."""
+    _staged.clear()
+
+
 def _words(spark: SparkSession, d: str) -> DataFrame:
     w = F.split(F.lower(F.trim("text")), r"\s+")
     return table(spark, d, "documents").select("doc_id", "source", w.alias("w")).where(F.size("w") >= 5)
