@@ -5,6 +5,7 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cladeflow.operators import components, mcl, network, orthogroups, scoring, search
 from cladeflow.plans import catalog
@@ -75,6 +76,24 @@ def test_large_even_components_stay_whole(spark):
         mcl.sparse_mcl(star, 1.5, rounds=1)
 
 
+def test_blocks_of_columns_give_dense_clusters(spark):
+    rng = random.Random(3)
+    rows = [(f"n{a:03d}", f"n{b:03d}", rng.uniform(0.5, 1)) for a in range(170) for b in range(a) if rng.random() < (0.6 if a // 20 == b // 20 else 0.01)]
+    edges = spark.createDataFrame(rows, "src string, dst string, weight double")
+    dense = {(r.node, r.cluster) for r in mcl.markov_clusters(edges).collect()}
+    assert {(r.node, r.cluster) for r in mcl.sparse_mcl(edges, 1.5).collect()} == dense and 4 <= len({c for _, c in dense}) <= 12
+    # columns cut to more entries than a cluster has lose nothing here
+    assert {(r.node, r.cluster) for r in mcl.sparse_mcl(edges, 1.5, most=60).collect()} == dense
+
+
+def test_a_hub_finishes(spark):
+    """A star's square has an entry for each two leaves; selection keeps columns short."""
+    n = 6000
+    edges = spark.range(1, n).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("weight"))
+    got = mcl.sparse_mcl(edges, 1.5, most=50)
+    assert got.count() == n and got.select("cluster").distinct().count() == 1
+
+
 def test_duplicate_names_fail(spark, tmp_path):
     (tmp_path / "x.fa").write_text(">a d\nMK\r\n LV\n>a\nM\n")
     seqs = files.sequences(spark, str(tmp_path))
