@@ -30,6 +30,12 @@ def finished(spark: SparkSession, path: str) -> bool:
     return bool(listed(spark, f"{path}/_SUCCESS"))
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a file or a folder with all that it holds."""
+    system, where = _at(spark, path)
+    system.delete(where, True)
+
+
 def write_whole(directory: str, name: str, text: str) -> None:
     """A file in a folder that all workers share; a task that runs again leaves the same file."""
     if "://" in directory or directory.startswith("file:"):

@@ -8,6 +8,7 @@ import pytest
 
 from cladeflow import cli
 from cladeflow.functions import staging
+from cladeflow.operators import network
 from cladeflow.plans.run import Config, run, settings
 from cladeflow.sources import files, sinks
 from cladeflow.streaming import incremental
@@ -200,3 +201,30 @@ def test_staged_tables(spark):
     staging.unstage(t)
     with pytest.raises(Exception, match="not exist|PATH_NOT_FOUND|FAILED_READ"):
         spark.read.parquet(t.staged_at).count()
+
+
+def test_a_stream_of_hits_ends_in_the_batch_edges(spark, tmp_path):
+    rng = random.Random(5)
+    rows = []
+    for f in range(8):
+        for a in range(4):
+            for b in range(4):
+                rows.append((f"t{a}", f"t{b}", f"g{f}_{a}", f"g{f}_{b}", rng.choice([1.0, 1.5, 2.0]) + (a == b), len(rows)))
+    rows += [(*r[:4], r[4] - 0.5, r[5] + 1000) for r in rows[::3]]  # hits that come again with a lower score
+    rng.shuffle(rows)
+    schema = "qt string, tt string, query string, target string, s double, line_no long"
+    for k in range(3):
+        spark.createDataFrame(rows[k::3], schema).coalesce(1).write.parquet(str(tmp_path / "parts" / str(k)))
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        next((tmp_path / "parts" / str(k)).glob("*.parquet")).rename(tmp_path / "in" / f"{k}.parquet")
+    store = incremental.HitStore(str(tmp_path / "store"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    incremental.on_batches(stream.where("s > 0"), store.fold, str(tmp_path / "checkpoint"), "append").awaitTermination()
+    assert store.versions(spark) == [1, 2]
+    edges = lambda t: sorted(map(tuple, network.from_hits(t).collect()))
+    want = edges(spark.createDataFrame(rows, schema))
+    assert len(want) > 20 and edges(store.hits(spark)) == want
+    before = sorted(map(tuple, store.hits(spark).collect()))
+    store.fold(spark.createDataFrame(rows[2::3], schema), 2)  # a batch that runs again
+    assert sorted(map(tuple, store.hits(spark).collect())) == before
