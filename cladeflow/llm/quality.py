@@ -104,6 +104,22 @@ def meta_view(columns: list[pa.Array], length: pa.Array) -> np.ndarray:
     return out
 
 
+def packed(x: np.ndarray) -> pa.Array:
+    """Rows of features as binary values."""
+    ends = np.arange(len(x) + 1, dtype=np.int64) * x.shape[1] * x.itemsize
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(x), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
+
+
+def unpacked(column: pa.Array, dims: int) -> np.ndarray:
+    """The rows that were packed; no value is null."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    if data is None or not len(column):
+        return np.zeros((0, dims), np.float32)
+    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(np.float32).reshape(-1, dims)
+
+
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
@@ -240,18 +256,13 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     def features(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         return text_view(b["text"]), meta_view([b[m] for m in meta], b["n_chars"])
 
+    def viewed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b["doc_id"], *[packed(x) for x in features(b)]], names=[n for n, _ in kinds])
+
     def taken(ids: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         """Both views' features of the rows of a few doc_ids; of rows that share one, the least."""
-        wanted = np.array(sorted(ids), np.int64)
-
-        def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                b = b.filter(pa.array(np.isin(b["doc_id"].to_numpy(), wanted)))
-                if b.num_rows:
-                    t, m = features(b)
-                    yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([x.tobytes() for x in t], pa.binary()), pa.array([x.tobytes() for x in m], pa.binary())], names=[n for n, _ in kinds])
-
-        got = rows.where("doc_id is not null").mapInArrow(sample, "doc_id long, text_x binary, meta_x binary").toArrow()
+        got = views.where(F.col("doc_id").isin(ids)).toArrow()
         one = {}
         for i, *x in sorted(zip(*(got[n].to_pylist() for n, _ in kinds), strict=True), reverse=True):
             one[i] = tuple(np.frombuffer(raw, np.float32) for raw in x)
@@ -262,10 +273,10 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
         def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                z = [np.where(np.isin(b["doc_id"].to_numpy(), list(given[1 - v])), 0.0, logits(x, models[v])) for v, x in enumerate(features(b))]  # each document once
+                z = [np.where(np.isin(b["doc_id"].to_numpy(), list(given[1 - v])), 0.0, logits(unpacked(b[c], dims), models[v])) for v, (c, dims) in enumerate((("text_x", TEXT_DIMS), ("meta_x", META_DIMS)))]  # each document once
                 yield pa.RecordBatch.from_arrays([b["doc_id"], *map(pa.array, z)], names=["doc_id", "z0", "z1"])
 
-        z = rows.where("doc_id is not null").mapInArrow(both, "doc_id long, z0 double, z1 double").groupBy("doc_id").agg(F.min(F.struct("z0", "z1")).alias("z"))
+        z = views.mapInArrow(both, "doc_id long, z0 double, z1 double").groupBy("doc_id").agg(F.min(F.struct("z0", "z1")).alias("z"))
         z = stage(z.join(known.select("doc_id").hint("merge"), "doc_id", "left_anti").select("doc_id", "z.z0", "z.z1"), "sure")
         sure = []
         for v in (0, 1):
@@ -276,12 +287,16 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         at = taken([*sure[0], *sure[1]]) if any(sure) else {}
         return [{i: (c, at[i][1 - v]) for i, c in sure[v].items()} for v in (0, 1)]
 
+    if picked:  # the rounds need the features again and again, and the texts no more
+        views = stage(rows.where("doc_id is not null").mapInArrow(viewed, "doc_id long, text_x binary, meta_x binary"), "views")
     one = taken(list(picked)) if picked else {}
     order = sorted(one, key=lambda i: (zlib.crc32(str(i).encode()), i))
     label = np.array([picked[i] for i in order], np.int64)
     text = np.array([one[i][0] for i in order]).reshape(len(order), TEXT_DIMS)
     info = np.array([one[i][1] for i in order]).reshape(len(order), META_DIMS)
     model = co_train(text, info, (label > 0).astype(np.float64), most_sure)
+    if picked:
+        unstage(views)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

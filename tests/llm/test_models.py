@@ -147,6 +147,27 @@ def test_quality_labels_the_surest_of_all_documents(spark):
     assert got[9001] > got[9002] + 0.1
 
 
+def test_quality_reads_texts_once_for_all_rounds(spark):
+    rows = [(i, "fine words here" if i % 2 else "poor stuff there", "s", "en", 100) for i in range(300)]
+    docs, read = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long"), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, quality int")
+    assert quality.classify(docs.mapInArrow(counted, docs.schema), labels).count() == 300
+    assert read.value <= 4 * 300  # twice for the ids of the sample, once for the features, once for the scores
+
+
+def test_quality_features_come_back():
+    x = np.random.default_rng(1).random((7, 5), np.float32)
+    column = quality.packed(x)
+    assert (quality.unpacked(column, 5) == x).all() and (quality.unpacked(column.slice(2, 3), 5) == x[2:5]).all()
+    assert quality.unpacked(column.slice(0, 0), 5).shape == (0, 5)
+
+
 @pytest.mark.parametrize("vocabulary", [6, 1000])
 def test_lm_scores_against_brute_force(spark, monkeypatch, vocabulary):
     monkeypatch.setattr(xent, "PARTITION_TOKENS", 50)
