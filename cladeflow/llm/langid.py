@@ -18,7 +18,8 @@ part, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -79,11 +80,31 @@ def weighted(at: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / max(1e-12, np.sqrt((x * x).sum()))
 
 
+def packed(at: np.ndarray, n: np.ndarray) -> bytes:
+    """Buckets in order and their counts, in a fraction of their size."""
+    return zlib.compress(np.concatenate((np.diff(at, prepend=0), n)).astype(np.int32).tobytes(), 1)
+
+
+class Rows(Sequence):
+    """The packed rows of the fit's sample; one is unpacked and weighted when it is asked for, so that the driver never holds them all."""
+
+    def __init__(self, cells: list[bytes], idf: np.ndarray):
+        self.cells, self.idf = cells, idf
+
+    def __len__(self) -> int:
+        return len(self.cells)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        step, n = np.frombuffer(zlib.decompress(self.cells[i]), np.int32).reshape(2, -1)
+        at = np.cumsum(step)
+        return at, weighted(at, n, self.idf)
+
+
 def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dims: int, n_langs: int, *, epochs: int = 4, least: int = 1200, batch: int = 16, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def ftrl(rows: Sequence[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dims: int, n_langs: int, *, epochs: int = 4, least: int = 1200, batch: int = 16, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Weights (dims x languages) and bias by proximal FTRL over small batches.
 
     Passes are repeated until there were ``least`` updates, so that small samples converge.
@@ -100,10 +121,11 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dims: in
         order = rng.permutation(len(rows))
         for lo in range(0, len(order), batch):
             own = order[lo : lo + batch]
-            at = np.unique(np.concatenate([rows[i][0] for i in own] + [[dims]]))
+            some = [rows[i] for i in own]
+            at = np.unique(np.concatenate([r for r, _ in some] + [[dims]]))
             x = np.zeros((len(own), len(at)))
-            for k, i in enumerate(own):
-                x[k, np.searchsorted(at, rows[i][0])] = rows[i][1]
+            for k, (r, v) in enumerate(some):
+                x[k, np.searchsorted(at, r)] = v
             x[:, -1] = 1
             w = weights(at)
             p = softmax(x @ w)
@@ -183,22 +205,18 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, langs, ids = decoded(b["text"]), b["lang"].to_pylist(), b["doc_id"].to_pylist()
-            out = [(str(ids[i]), langs[i], at.astype(np.int32).tobytes(), n.astype(np.int32).tobytes()) for i, at, n in counts(texts, dims) if has_letter(texts[i])]
+            out = [(str(ids[i]), langs[i], packed(at, n)) for i, at, n in counts(texts, dims) if has_letter(texts[i])]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.binary(), pa.binary()), strict=True)], names=["id", "lang", "at", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.binary()), strict=True)], names=["id", "lang", "cells"])
 
-    got = sorted((r["id"], r["lang"], r["at"], r["n"]) for r in sample.mapInArrow(run, "id string, lang string, at binary, n binary").toArrow().to_pylist())
+    got = sorted((r["id"], r["lang"], r["cells"]) for r in sample.mapInArrow(run, "id string, lang string, cells binary").toArrow().to_pylist())
     if not got:
         return None
     langs = sorted({r[1] for r in got})
     labels = np.array([langs.index(r[1]) for r in got])
-    rows = []
-    for _, _, at, n in got:
-        at, n = np.frombuffer(at, np.int32), np.frombuffer(n, np.int32)
-        rows.append((at, weighted(at, n, idf)))
-    apart = np.arange(len(rows)) % 5 == 4
-    w, bias = ftrl([r for r, a in zip(rows, apart, strict=True) if not a], labels[~apart], dims, len(langs), seed=seed)
-    logits = np.array([x @ w[at] + bias for (at, x), a in zip(rows, apart, strict=True) if a])
+    apart = np.arange(len(got)) % 5 == 4
+    w, bias = ftrl(Rows([r[2] for r, a in zip(got, apart, strict=True) if not a], idf), labels[~apart], dims, len(langs), seed=seed)
+    logits = np.array([x @ w[at] + bias for at, x in Rows([r[2] for r, a in zip(got, apart, strict=True) if a], idf)])
     return Model(langs, w, bias, idf, calibrate(logits, labels[apart]), dims)
 
 

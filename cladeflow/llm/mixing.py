@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladeflow.functions.staging import stage
+from cladeflow.functions.staging import stage, unstage
 
 WORD = r"[^\x20\x09-\x0D]+"
 ROUNDS = 24  # of the swap-or-not network
@@ -201,10 +201,13 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     doc_id, source and size must be the same document.
     """
     sizes, sources, slots, segments = plan(docs, id_col, text_col, source_col, **kw)
+    # staged, since one query over all of it is planned anew after each of its exchanges, in the driver's memory
+    slots, segments = stage(slots, "slots"), stage(segments, "segments")
     took = taken_segments(slots, segments).where("copy = 0")
     took = took.groupBy("doc_id", "k", "size", "turn").agg(F.sort_array(F.collect_list(F.struct("word", "n"))).alias("parts"), F.sum("n").alias("all"))
     took = took.join(sources.select("k", F.col("source").alias("_s")), "k").select(F.col("doc_id").alias("_d"), "_s", F.col("size").alias("_n"), "turn", F.when(F.col("all") < F.col("size"), F.col("parts")).alias("parts"))
     took = stage(took, "taken").hint("merge")  # grows with the input: never broadcast
+    unstage(slots, segments)
     names = [f"_k{i}" for i in range(len(docs.columns))]  # the caller's names may be any
     rows = docs.select(*[docs[c].alias(k) for c, k in zip(docs.columns, names, strict=True)], docs[id_col].cast("long").alias("_id"), docs[source_col].cast("string").alias("_source"), docs[text_col].alias("_text"))
     rows = rows.withColumn("_w", F.regexp_count("_text", F.lit(WORD)).cast("long"))

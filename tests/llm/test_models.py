@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -112,6 +113,26 @@ def test_language_against_brute_force(spark):
     assert all(r.held_out is not None for r in langid.identify(null).collect())
 
 
+def test_language_fit_holds_its_sample_packed(spark):
+    rng = random.Random(4)
+    letters = ["".join(map(chr, range(97, 123))), "".join(map(chr, range(0x3B1, 0x3CA)))]
+    rows = [(i, "".join(rng.choices(letters[i % 2] + " ", k=4000)), "en" if i % 2 else "el") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    some = [len(at) for _, at, _ in langid.counts([t for i, t, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2], 8192)]
+    tracemalloc.start()
+    model = langid.fit(docs)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.langs == ["el", "en"] and most < 8 * sum(some)  # a bucket, its count and its weight take 16 bytes
+
+
+def test_language_rows_come_back():
+    at, n, idf = np.array([0, 3, 4, 8191]), np.array([1, 70_000, 2, 1]), np.linspace(1, 2, 8192)
+    got = langid.Rows([langid.packed(at, n), langid.packed(at[1:2], n[1:2])], idf)
+    assert len(got) == 2 and (got[0][0] == at).all() and (got[0][1] == langid.weighted(at, n, idf)).all()
+    assert got[1][0].tolist() == [3] and got[1][1].tolist() == [1.0]
+
+
 def test_sparse_regression_learns_and_stays_sparse():
     rng = np.random.default_rng(3)
     labels = rng.integers(0, 3, 300)
