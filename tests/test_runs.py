@@ -228,3 +228,19 @@ def test_a_stream_of_hits_ends_in_the_batch_edges(spark, tmp_path):
     before = sorted(map(tuple, store.hits(spark).collect()))
     store.fold(spark.createDataFrame(rows[2::3], schema), 2)  # a batch that runs again
     assert sorted(map(tuple, store.hits(spark).collect())) == before
+
+
+def test_tables_written_together_are_read_as_tables_alone(spark, tmp_path):
+    names = ["a.fa", "a_2_b.fa", "b.fa", "2_b.fa"]
+    text = {(q, t): "# target query\n" + "\n".join(f"{t}{k} - {q}{k} - 1e-9 {50 + k} 0 1 1 a # b" for k in range(3 + len(q))) + "\n\n" for q in names for t in names}
+    for folder in ("alone", "together"):
+        (tmp_path / folder).mkdir()
+    for (q, t), x in text.items():
+        (tmp_path / "alone" / f"{q}_2_{t}.phmmerout.txt").write_text(x + "# [ok]\n")
+    files.write_tables(spark.createDataFrame([(f"{q}_2_{t}.phmmerout.txt", x) for (q, t), x in text.items()], "name string, text string").repartition(3), str(tmp_path / "together"))
+    assert files.has_tables(spark, str(tmp_path / "together")) and not files.has_tables(spark, str(tmp_path))
+    listed = spark.createDataFrame([(n, k) for k, n in enumerate(names)], "taxon string, taxon_idx int")
+    alone, together = ({tuple(r) for r in files.search_tables(spark, str(tmp_path / x), listed).collect()} for x in ("alone", "together"))
+    assert alone == together and len(list((tmp_path / "together" / files.BUNDLE).glob("part-*"))) == 3
+    crossed = {tuple(r) for r in files.taxon_pairs(listed).selectExpr("concat(qt, '_2_', tt, '.phmmerout.txt') as file", "qt", "tt").collect()}
+    assert {tuple(r) for r in files.pairs_of(spark.createDataFrame([(f,) for f in {x[0] for x in crossed}], "file string"), listed).collect()} == crossed
